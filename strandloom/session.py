@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,16 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
     )
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, if they can see that place."""
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
