@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.llm.packing import fill_of, pack_documents
+from strandloom.llm.repetition import repetition, repetitive
 from strandloom.llm.setjoin import similar_classes, similar_pairs
 from strandloom.llm.splitting import split_fragments
+from strandloom.llm.tokenizer import encode_texts
 from strandloom.llm.topn import top_n
 from strandloom.session import table
 
 SIMILAR = 0.6
 TOP = 5
+TOKENIZER = "byte_bpe_50k"
+REPETITIVE = 0.3
 
 
 def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -54,12 +59,44 @@ def p3_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return best.select("query_fragment_id", "mapping_id")
 
 
+def p6_ids(spark: SparkSession, data_dir: str) -> DataFrame:
+    return encode_texts(table(spark, data_dir, "documents"), "doc_id", "text", TOKENIZER)
+
+
+def p7_containers(spark: SparkSession, data_dir: str) -> DataFrame:
+    return pack_documents(table(spark, data_dir, "documents"), table(spark, data_dir, "pack_targets"))
+
+
+def p7_fill(spark: SparkSession, data_dir: str) -> DataFrame:
+    return fill_of(p7_containers(spark, data_dir), table(spark, data_dir, "pack_targets"))
+
+
+def p8_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return repetitive(table(spark, data_dir, "documents"), "doc_id", "text", REPETITIVE)
+
+
+def p8_shares(spark: SparkSession, data_dir: str) -> DataFrame:
+    measured = repetition(table(spark, data_dir, "documents"), "doc_id", "text")
+    return measured.select("doc_id", "words", "repeated_words", F.round("repeated_share", 9).alias("repeated_share"))
+
+
+def p8_posterior(spark: SparkSession, data_dir: str) -> DataFrame:
+    measured = repetition(table(spark, data_dir, "documents"), "doc_id", "text")
+    return measured.select("doc_id", "repeated_share", "posterior")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p2_classes": p2_classes,
     "p3_found": p3_found,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+    "p8_posterior": p8_posterior,
 }
 
 _SETS = """
@@ -75,6 +112,22 @@ shared AS (
   GROUP BY 1, 2),
 pairs AS (SELECT fa, fb, s, s / (na + nb - s) AS j FROM shared WHERE s >= 0.6 * (na + nb - s))"""
 
+_SHARES = r"""
+raw AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\p{L}+')) AS w,
+               generate_subscripts(regexp_extract_all(coalesce(text, ''), '\p{L}+'), 1) AS i FROM documents),
+words AS (SELECT doc_id, i, lower(w) AS w FROM raw),
+runs AS (
+  SELECT doc_id, i, string_agg(w, ' ') OVER r AS run, count(*) OVER r AS n FROM words
+  WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+again AS (
+  SELECT doc_id, i, CASE WHEN n = 8 AND row_number() OVER (PARTITION BY doc_id, run ORDER BY i) > 1 THEN 1 ELSE 0 END AS a
+  FROM runs),
+covered AS (
+  SELECT doc_id, max(a) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM again),
+shares AS (
+  SELECT d.doc_id, CAST(count(c) AS BIGINT) AS words, CAST(coalesce(sum(c), 0) AS BIGINT) AS repeated_words
+  FROM documents d LEFT JOIN covered USING (doc_id) GROUP BY d.doc_id)"""
+
 ORACLE = {
     "p1_found": r"""
 WITH q AS (
@@ -131,4 +184,11 @@ WITH m AS (
 SELECT query_fragment_id, mapping_id FROM m
 QUALIFY row_number() OVER (PARTITION BY query_fragment_id
   ORDER BY identity DESC, reference_file_id, reference_start, mapping_id) <= 5""",
+    "p8_found": f"""
+WITH {_SHARES}
+SELECT doc_id FROM shares WHERE words > 0 AND repeated_words / words >= 0.3""",
+    "p8_shares": f"""
+WITH {_SHARES}
+SELECT doc_id, words, repeated_words,
+       CASE WHEN words > 0 THEN round(repeated_words / words, 9) ELSE 0.0 END AS repeated_share FROM shares""",
 }
