@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,18 +83,16 @@ def contig_summary(best: DataFrame, fragments: DataFrame, files: DataFrame) -> D
 
 def hidden_support(summary: DataFrame) -> DataFrame:
     """Add p99 and p80: how likely so many identities of 99 and more, or 80 and less, are by chance."""
-    import pandas as pd
-
     def support(cut: float, above: bool):
         @F.pandas_udf("double")
         def tail(n: pd.Series, median: pd.Series, mad: pd.Series, share: pd.Series) -> pd.Series:
             rows = zip(n, median, mad, share, strict=True)
-            return pd.Series([tail_support(int(a), m, d, round(a * s) if s == s else 0, cut, above) for a, m, d, s in rows])
+            return pd.Series([tail_support(int(a), m, d, round(a * s) if s == s else 0, cut, above) for a, m, d, s in rows], dtype=float)
 
         return tail
 
-    return summary.withColumn("p99", support(99.0, True)("shared_fragments", "median", "mad", "f99")).withColumn(
-        "p80", support(80.0, False)("shared_fragments", "median", "mad", "f80")
+    return summary.withColumn("p99", or_nan(support(99.0, True)("shared_fragments", "median", "mad", "f99"))).withColumn(
+        "p80", or_nan(support(80.0, False)("shared_fragments", "median", "mad", "f80"))
     )
 
 
