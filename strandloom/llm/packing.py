@@ -3,8 +3,9 @@
 Only the histogram of item lengths reaches the driver, which has at most `capacity` entries. The lengths are put on
 a grid of GRID steps (rounded up), all combinations of up to DEPTH grid lengths that fill a container exactly are
 enumerated, and non-negative least squares finds how often to repeat each so that the histogram is used up. The
-counts are rounded to what there is, combinations are turned back to true lengths, and whatever is left, rounding
-gaps included, is filled greedily, longest item first into the fullest container that takes it.
+counts are rounded to what there is and combinations are turned back to true lengths, the last one of each so that
+the grid's rounding is made up for. Whatever is left is packed greedily, longest item first into the fullest
+container that takes it, be it a new one or a gap in one of those.
 
 The plan says how often which lengths share a container. Items of one length are interchangeable, so an item's
 container follows from its length and its exact position among the items of that length, which are numbered
@@ -13,8 +14,8 @@ without gathering them.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import defaultdict
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,56 +146,65 @@ def fill_greedily(left: dict[int, int], containers: list[Pattern], capacity: int
     return [Pattern(lengths, count) for free in frees for lengths, count in by_free[free]]
 
 
+class _Stock:
+    """What is left of a histogram, with the lengths in order."""
+
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.count = {length: n for length, n in histogram.items() if n}
+        self.lengths = sorted(self.count)
+
+    def largest(self, low: int, high: int) -> int | None:
+        """The largest length in stock from `low` up to `high`."""
+        at = bisect_right(self.lengths, high) - 1
+        return self.lengths[at] if at >= 0 and self.lengths[at] >= low else None
+
+    def take(self, length: int, n: int) -> None:
+        self.count[length] -= n
+        if not self.count[length]:
+            del self.count[length]
+            self.lengths.pop(bisect_left(self.lengths, length))
+
+
+def _realise(grid_lengths: list[int], times: int, stock: _Stock, width: int, capacity: int) -> list[Pattern]:
+    """Up to `times` containers of a combination in true lengths: the largest that each step of the grid has, the
+    last one the largest that still fits. One pattern for each run of containers in which no length changes."""
+    made = []
+    while times > 0:
+        chosen: list[int] = []
+        free = capacity
+        for nth, step in enumerate(grid_lengths):
+            last = nth == len(grid_lengths) - 1
+            length = stock.largest((step - 1) * width + 1, free if last else min(free, step * width))
+            if length is None or (stock.count[length] <= chosen.count(length)):
+                return made
+            chosen.append(length)
+            free -= length
+        counted = Counter(chosen)
+        run = min(times, *[stock.count[length] // k for length, k in counted.items()])
+        for length, k in counted.items():
+            stock.take(length, run * k)
+        made.append(Pattern(sorted(counted.items()), run))
+        times -= run
+    return made
+
+
 def plan(histogram: dict[int, int], capacity: int, grid: int = GRID, depth: int = DEPTH) -> list[Pattern]:
     """Patterns that together hold exactly the items of the histogram (length -> count, 1 <= length <= capacity)."""
     width = -(-capacity // min(grid, capacity))
     steps = capacity // width
-    bins: dict[int, list[list[int]]] = defaultdict(list)
-    for length in sorted(histogram, reverse=True):
-        if histogram[length]:
-            bins[min(-(-length // width), steps)].append([length, histogram[length]])
     target = np.zeros(steps + 1)
-    for b, items in bins.items():
-        target[b] = sum(n for _, n in items)
+    for length, n in histogram.items():
+        target[min(-(-length // width), steps)] += n
     rows = combinations(steps, depth, target > 0)
     repeats = nonnegative_least_squares(rows, target)
-    there = target.astype(np.int64)
-    full: list[Pattern] = []
+    stock = _Stock(histogram)
+    made: list[Pattern] = []
     for j in np.argsort(-repeats, kind="stable"):
         times = int(repeats[j] + 0.5)
         if not times:
             break
-        use = [int(b) for b in rows[j] if b]
-        times = min(times, *[int(there[b]) // use.count(b) for b in use])
-        for b in use:
-            there[b] -= times
-        while times:  # true lengths: a run of containers in which no length changes
-            tops: list[int] = []
-            run = times
-            for b in set(use):
-                length, n = bins[b][-1]
-                run = min(run, n // use.count(b))
-            if run:
-                for b in use:
-                    tops.append(bins[b][-1][0])
-                    bins[b][-1][1] -= run
-            else:  # a length that runs out inside a container
-                run = 1
-                for b in use:
-                    while not bins[b][-1][1]:
-                        bins[b].pop()
-                    tops.append(bins[b][-1][0])
-                    bins[b][-1][1] -= 1
-            for b in set(use):
-                while bins[b] and not bins[b][-1][1]:
-                    bins[b].pop()
-            counted: dict[int, int] = defaultdict(int)
-            for length in tops:
-                counted[length] += 1
-            full.append(Pattern(sorted(counted.items()), run))
-            times -= run
-    left = {length: n for items in bins.values() for length, n in items if n}
-    return fill_greedily(left, full, capacity)
+        made += _realise([int(b) for b in reversed(rows[j]) if b], times, stock, width, capacity)
+    return fill_greedily(stock.count, made, capacity)
 
 
 def _lookup(patterns: list[Pattern], key_base: int) -> np.ndarray:

@@ -127,15 +127,16 @@ def split_oversized(items: DataFrame) -> DataFrame:
     `items` has item (a unique long), start, end (half-open positions), limit, stride, least (the smallest piece
     worth keeping), least_break, and run_starts, run_ends (arrays: the runs of breaking letters, in order). Rows
     with a null in item, start, end, limit, stride or least, with limit or stride below 1, or stride above limit, give
-    nothing, and neither does an item without positions. Null arrays are no runs, a null least_break is 0. Further
+    nothing, and neither does an item without positions. Arrays that are null or not of one size are no runs, a null least_break is 0. Further
     columns are ignored. Every item is split on its own; its rows are not repeated here.
     """
     nothing = F.array().cast("array<long>")
+    paired = F.size("run_starts") == F.size("run_ends")
     rows = items.select(
         *[F.col(c).cast("long").alias(c) for c in ("item", "start", "end", "limit", "stride", "least")],
         F.coalesce(F.col("least_break").cast("long"), F.lit(0)).alias("least_break"),
-        F.coalesce("run_starts", nothing).alias("run_starts"),
-        F.coalesce("run_ends", nothing).alias("run_ends"),
+        F.when(paired, F.col("run_starts")).otherwise(nothing).alias("run_starts"),
+        F.when(paired, F.col("run_ends")).otherwise(nothing).alias("run_ends"),
     ).filter("item IS NOT NULL AND start < end AND limit >= 1 AND stride BETWEEN 1 AND limit AND least IS NOT NULL")
     return rows.mapInArrow(_split_all, "item long, piece_start long, piece_end long")
 
