@@ -154,7 +154,7 @@ def test_params_files_are_checked(tmp_path, text, message):
     "arguments,message",
     [
         ([], "required"),
-        (["--reference", "-", "--skip-validation"], "standard input"),
+        (["--reference", "-", "--query", "q", "--skip-validation"], "standard input"),
         (["--query", "-", "--query", "-", "--reference-sketch", "s"], "only one"),
         (["--query-name", "x", "--reference-sketch", "s"], "--query-name"),
         (["--shards", "1", "--reference", "r", "--query", "q", "--skip-validation"], "--shards"),
