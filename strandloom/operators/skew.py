@@ -24,7 +24,8 @@ def number_rows(rows: DataFrame, key: str, order: list[str], slices: int) -> Dat
     A null key is a key of its own. `order` must tell rows apart within a key for the numbering to be the same in
     every run. The widest window is one (slice, key); the prefix sum of a key sees one row per slice.
     """
-    dealt = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int")).repartition(slices, "slice")
+    dealt = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    dealt = dealt.filter("slice IS NOT NULL").repartition(slices, "slice")  # see distinct_records
     return _number_dealt(dealt, key, order)
 
 
@@ -54,7 +55,8 @@ def distinct_records(
         record_id.alias("record"), key.alias("key"), value.alias("value"), (order if order is not None else F.lit(None).cast("long")).alias("position")
     )
     dealt = rows.withColumn("slice", F.pmod(F.xxhash64("record", "key", "value", "position"), F.lit(slices)).cast("int"))
-    dealt = dealt.repartition(slices, "slice")
+    # a slice is never null; said here, the planner does not say it on one side of a later join only and shuffle twice
+    dealt = dealt.filter("slice IS NOT NULL").repartition(slices, "slice")
     first = F.row_number().over(Window.partitionBy("slice", "record").orderBy("key", "position", "value"))
     return dealt.withColumn("_copy", first).filter((F.col("_copy") == 1) | F.col("record").isNull()).drop("_copy")
 
