@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import materialize
+
 BUCKET_BITS = 16
 
 
@@ -18,7 +20,8 @@ def _cumulated(df: DataFrame, sums: dict[str, str]) -> DataFrame:
     """Add, for each (column, name) of `sums`, the running sum of the column over an entity's positions."""
     within = Window.partitionBy("entity", "bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(c).over(within).alias(f"_in_{n}") for c, n in sums.items()])
-    totals = df.groupBy("entity", "bucket").agg(*[F.sum(c).alias(f"_sum_{n}") for c, n in sums.items()])
+    # a running sum's maximum is the bucket's total; taken from `local`, it shares its shuffle
+    totals = local.groupBy("entity", "bucket").agg(*[F.max(f"_in_{n}").alias(f"_sum_{n}") for n in sums.values()])
     before = Window.partitionBy("_entity").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
         F.col("entity").alias("_entity"),
@@ -60,7 +63,8 @@ def periods_and_gaps(df: DataFrame, entity: Column, start: Column, end: Column,
         ).alias("e"),
     ).select("entity", F.shiftright("e.pos", bucket_bits).alias("bucket"), "e.pos", "e.starts", "e.ends")
     points = events.groupBy("entity", "bucket", "pos").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
-    points = points.repartition("entity", "bucket")
+    # said here once, or the planner would say it on one side of the joins below only, and read everything twice
+    points = points.filter("entity IS NOT NULL AND bucket IS NOT NULL").repartition("entity", "bucket")
 
     ranked = _cumulated(points, {"starts": "started", "ends": "ended"})
     bounds = ranked.select(
@@ -70,7 +74,7 @@ def periods_and_gaps(df: DataFrame, entity: Column, start: Column, end: Column,
         ((F.col("starts") > 0) & (F.col("started") - F.col("starts") == F.col("ended") - F.col("ends"))).cast("long").alias("opens"),
         ((F.col("ends") > 0) & (F.col("started") == F.col("ended"))).cast("long").alias("closes"),
     ).filter("opens + closes > 0")
-    numbered = _cumulated(bounds, {"opens": "n_open", "closes": "n_close"})
+    numbered = _cumulated(materialize(bounds), {"opens": "n_open", "closes": "n_close"})
 
     merged, gap = F.lit("merged").alias("piece_kind"), F.lit("gap").alias("piece_kind")
     at = F.col("pos")
