@@ -3,8 +3,9 @@
 Records with equal sets form one class, and only classes are joined. The tokens of a set are ordered by rarity over
 all rows (the counts of the frequent ones are exact; the others, each below `1 / FREQUENT_TOKENS` of all
 occurrences, stand before them). A set of n tokens that is similar to another shares a token with it among its
-first n - ceil(t n) + 1, so only those are indexed. A pair that meets at a token is kept if sizes and places
-in the order still allow enough overlap, and is then verified on the whole sets.
+first n - ceil(t n) + 1, and with a larger one among its first n - ceil(2 t n / (1 + t)) + 1: only those are
+indexed. A pair that meets at a token is kept if sizes and places in the order still allow enough overlap, and is
+then verified on the whole sets.
 
 A token that very many sets have is not indexed alone: a pair that meets first at such a token needs, unless both sets
 are tiny, a second token in common one place further at most, so it is indexed with each of those.
@@ -50,9 +51,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: How a posting was made: from one token, from two, or from one that is hot by a set that is tiny.
+ALONE, TOGETHER, TINY = 1, 2, 3
+
+
 def _postings(
-    batches: Iterator[pa.RecordBatch], frequent: np.ndarray, counts: np.ndarray, threshold: float, hot_rows: int
+    batches: Iterator[pa.RecordBatch], frequent: np.ndarray, counts: np.ndarray, threshold: float, hot_rows: int, least_share: float
 ) -> Iterator[pa.RecordBatch]:
+    """(key, set_id, meta) of the first n - ceil(least_share * n) + 1 tokens of each set; meta holds the set's size
+    (31 bits), the number of tokens behind those of the key (31) and the kind of the posting (2)."""
     for batch in batches:
         ids = batch.column("set_id").to_numpy(zero_copy_only=False)
         lists = batch.column("tokens")
@@ -67,33 +74,24 @@ def _postings(
             count = np.where(frequent[at] == tokens, counts[at], 0)
         order = np.lexsort((tokens, count, row))
         tokens, count = tokens[order], count[order]
-        first = np.cumsum(size) - size
-        place = np.arange(len(tokens)) - first[row]
+        place = np.arange(len(tokens)) - (np.cumsum(size) - size)[row]
         n = size[row]
-        prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-        indexed = place < prefix
-        hot = count >= hot_rows
-        # one token, and tiny sets even at hot tokens: such two may have a single token in common
-        tiny = math.floor(1 / threshold + 1e-9)
-        alone = indexed & (~hot | (n <= tiny))
-        parts = [(_mixed(tokens[alone]), row[alone], (n - 1 - place)[alone], hot[alone] * 2 + 1)]
+        prefix = n - np.ceil(least_share * n - 1e-9).astype(np.int64) + 1
+        indexed, hot = place < prefix, count >= hot_rows
+        alone = np.flatnonzero(indexed & ~hot)
+        # two tiny sets may be similar by a single token, which may be a hot one
+        tiny = np.flatnonzero(indexed & hot & (n <= math.floor(1 / threshold + 1e-9)))
         start = np.flatnonzero(indexed & hot)
-        reach = np.minimum(prefix, n - 1)[start] - place[start]  # further tokens up to one place beyond the prefix
-        if reach.sum() > 0:
-            a = np.repeat(start, reach)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reach) - reach, reach)
-            key = _mixed(_mixed(tokens[a]) + np.uint64(0x9E3779B97F4A7C15) * tokens[b].astype(np.uint64))
-            parts.append((key, row[a], (n - 1 - place)[b], np.full(len(a), 2)))
-        key, owner, rest, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        reach = np.minimum(prefix, n - 1)[start] - place[start]  # further tokens, up to one place beyond the prefix
+        first = np.repeat(start, reach)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(reach) - reach, reach)
+        pair = _mixed(_mixed(tokens[first]) + np.uint64(0x9E3779B97F4A7C15) * tokens[second].astype(np.uint64))
+        key = np.concatenate([_mixed(tokens[alone]), _mixed(tokens[tiny]), pair])
+        last = np.concatenate([alone, tiny, second])
+        kind = np.repeat([ALONE, TINY, TOGETHER], [len(alone), len(tiny), len(second)])
+        meta = n[last] << 33 | (n[last] - 1 - place[last]) << 2 | kind
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(key.view(np.int64)),
-                pa.array(ids[owner]),
-                pa.array(size[owner].astype(np.int32)),
-                pa.array(rest.astype(np.int32)),
-                pa.array(kind.astype(np.int8)),
-            ],
-            names=["key", "set_id", "n", "rest", "kind"],
+            [pa.array(key.view(np.int64)), pa.array(ids[row[last]]), pa.array(meta)], names=["key", "set_id", "meta"]
         )
 
 
@@ -122,20 +120,26 @@ def similar_sets(
     """(a, b, n_a, n_b, shared): pairs a < b of different sets with Jaccard similarity of at least `threshold`."""
     frequent, counts = frequent_tokens(sets, frequent_limit)
     known = sets.sparkSession.sparkContext.broadcast((frequent, counts))
-    index = sets.mapInArrow(
-        lambda batches: _postings(batches, *known.value, threshold, hot_rows),
-        "key long, set_id long, n int, rest int, kind byte",
-    )
-    a, b = index.alias("a"), index.alias("b")
-    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    met = F.when(F.col("a.kind") == 2, 2).otherwise(1)
-    enough = met + F.least("a.rest", "b.rest") >= _least_overlap(F.col("a.n"), F.col("b.n"), threshold)
-    candidates = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.set_id") < F.col("b.set_id")))
-        .filter((small >= large * F.lit(threshold) - F.lit(1e-9)) & enough)
-        .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
-        .distinct()
+
+    def postings(least_share: float, side: str) -> DataFrame:
+        made = sets.mapInArrow(
+            lambda batches: _postings(batches, *known.value, threshold, hot_rows, least_share), "key long, set_id long, meta long"
+        )
+        return made.toDF("key", f"id_{side}", f"meta_{side}")
+
+    # the larger set of a pair probes with the tokens that any partner may share first; the smaller one, whose
+    # partners are as large as itself at least, is indexed by fewer
+    found = postings(threshold, "x").join(postings(2 * threshold / (1 + threshold), "y"), "key")
+    size, rest, kind = ((lambda side, f=f: F.expr(f.format(m=f"meta_{side}"))) for f in ("shiftright({m}, 33)", "shiftright({m}, 2) & 2147483647", "{m} & 3"))
+    n, m = size("x"), size("y")
+    met = F.when(kind("x") == TOGETHER, 2).otherwise(1)
+    possible = (
+        (kind("x") == kind("y"))
+        & ((n > m) | ((n == m) & (F.col("id_x") > F.col("id_y"))))
+        & (m >= n * F.lit(threshold) - F.lit(1e-9))
+        & (met + F.least(rest("x"), rest("y")) >= _least_overlap(n, m, threshold))
     )
+    candidates = found.filter(possible).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     left, right = sets.toDF("a", "tokens_a"), sets.toDF("b", "tokens_b")
     pairs = candidates.join(left, "a").join(right, "b").select(
         "a",
