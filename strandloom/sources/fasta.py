@@ -6,6 +6,7 @@ import gzip
 import io
 import sys
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +43,10 @@ def parse_fasta(data: bytes) -> Iterator[tuple[str, str]]:
         yield name, b"".join(parts).decode("ascii", "replace")
 
 
-def _batch(rows: list[tuple[int, int, str, str]]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int, int, str, str]], kind: pa.DataType) -> pa.RecordBatch:
     file, contig, name, seq = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(file, pa.int32()), pa.array(contig, pa.int32()), pa.array(name, pa.string()), pa.array(seq, pa.string())],
+        [pa.array(file, kind), pa.array(contig, pa.int32()), pa.array(name, pa.string()), pa.array(seq, pa.string())],
         names=["file_id", "contig_id", "name", "seq"],
     )
 
@@ -59,12 +60,20 @@ def _parsed(batches: Iterator[pa.RecordBatch], side: str) -> Iterator[pa.RecordB
                     rows.append((file, number, name, seq))
                     letters += len(seq)
                     if letters > BATCH_LETTERS:
-                        yield _batch(rows)
+                        yield _batch(rows, batch.schema.field(0).type)
                         rows, letters = [], 0
             except (ValueError, OSError, EOFError) as error:
                 raise ValueError(f"failed to read FASTA record from {side} {label}: {error}") from error
             if rows:
-                yield _batch(rows)
+                yield _batch(rows, batch.schema.field(0).type)
+
+
+def contigs_of_files(files: DataFrame, side: str) -> DataFrame:
+    """(file_id, contig_id, name, seq) of files given as (file_id, label, packed, content); works on streams as well."""
+    kind = files.schema["file_id"].dataType.simpleString()
+    return files.select("file_id", "label", "packed", "content").mapInArrow(
+        lambda batches: _parsed(batches, side), CONTIGS.replace("file_id int", f"file_id {kind}")
+    )
 
 
 def read_contigs(spark: SparkSession, genomes: tuple[Genome, ...], side: str) -> DataFrame:
@@ -80,13 +89,11 @@ def read_contigs(spark: SparkSession, genomes: tuple[Genome, ...], side: str) ->
     piped = [(n, g) for n, g in enumerate(genomes) if is_stdin(g.path)]
     parts = []
     if files:
-        from pathlib import Path
-
         uri = {path: Path(path).absolute().as_uri() if "://" not in path else path for _, _, _, path in files}
         manifest = spark.createDataFrame([(n, label, packed, uri[p].replace("file:///", "file:/")) for n, label, packed, p in files], "file_id int, label string, packed boolean, path string")
         read = spark.read.format("binaryFile").load(sorted(set(uri.values()))).select(F.regexp_replace("path", "^file:///", "file:/").alias("path"), "content")
         rows = read.join(F.broadcast(manifest), "path")  # one row for each listed file
-        parts.append(rows.select("file_id", "label", "packed", "content").mapInArrow(lambda batches: _parsed(batches, side), CONTIGS))
+        parts.append(contigs_of_files(rows, side))
     for n, genome in piped:
         data = sys.stdin.buffer.read()
         data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
