@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.mash import mash_distance, upper_identity_column
 
-#: Letters of a block of reference minimizers; a region is joined to the few blocks that it touches.
-BLOCK_BITS = 12
 #: Cells of the window-by-key table that is held at a time.
 CELLS = 4_000_000
+#: Regions with more minimizers than this are scored one by one, the others many at a time.
+LARGE = 512
 
 
 def best_window(
@@ -60,25 +60,93 @@ def best_window(
     return best
 
 
+def best_windows(
+    owner: np.ndarray, query: np.ndarray, member: np.ndarray, positions: np.ndarray, keys: np.ndarray,
+    start: np.ndarray, end: np.ndarray, width: np.ndarray,
+) -> np.ndarray:
+    """`best_window` of many regions: a row (region, shared, first, last, reference keys) for each that shares a key.
+
+    owner[i] is the region of query[i], ascending in both; member[j] that of the minimizer (positions[j], keys[j]),
+    ascending in member and position. Regions are put side by side in tables of equal shape.
+    """
+    n = len(start)
+    size = np.bincount(owner, minlength=n)
+    counts = np.bincount(member, minlength=n)
+    first_query, first_member = np.cumsum(size) - size, np.cumsum(counts) - counts
+    begins = (positions >= start[member]) & (positions <= end[member])
+    windows = np.bincount(member[begins], minlength=n)
+    rows = []
+    usable = (size > 0) & (windows > 0)
+    for region in np.flatnonzero(usable & (counts > LARGE)):
+        own = slice(first_member[region], first_member[region] + counts[region])
+        wanted = query[first_query[region] : first_query[region] + size[region]]
+        best = best_window(wanted, positions[own], keys[own], start[region], end[region], width[region])
+        if best is not None:
+            rows.append(np.array([[region, *best]], np.int64))
+    # by key within a region, and what is known of a key there: whether the query has it, how many of its keys come up to it
+    order = np.lexsort((keys, member))
+    sorted_query = owner << 33 | query
+    wanted = member[order] << 33 | keys[order]
+    at = np.searchsorted(sorted_query, wanted, side="right")
+    shared_key = (at > 0) & (sorted_query[np.maximum(at - 1, 0)] == wanted) if len(sorted_query) else np.zeros(len(at), bool)
+    rank = at - first_query[member[order]]
+    repeated = np.r_[False, wanted[1:] == wanted[:-1]] if len(wanted) else np.zeros(0, bool)
+    begin_first = np.cumsum(windows) - windows
+    begin_positions = positions[begins]
+    shape = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64))
+    for columns in np.unique(shape[usable & (counts <= LARGE)]):
+        group = np.flatnonzero(usable & (counts <= LARGE) & (shape == columns))
+        step = max(1, CELLS // int(columns) ** 2)
+        for low in range(0, len(group), step):
+            part = group[low : low + step]
+            cell = np.arange(columns)
+            there = cell < counts[part, None]
+            row = np.where(there, first_member[part, None] + cell, 0)
+            at_key = np.where(there, positions[order[row]], -1)
+            is_shared, up_to, again = there & shared_key[row], rank[row], there & repeated[row]
+            used = int(windows[part].max())
+            valid = np.arange(used) < windows[part, None]
+            opens = np.where(valid, begin_positions[np.where(valid, begin_first[part, None] + np.arange(used), 0)], 1 << 60)
+            inside = (at_key[:, None, :] >= opens[:, :, None]) & (at_key[:, None, :] < (opens + width[part, None])[:, :, None])
+            for c in np.flatnonzero(again.any(axis=0)):  # of a key that is there twice, keep one
+                twice = again[:, c]
+                inside[twice, :, c] |= inside[twice, :, c - 1]
+                inside[twice, :, c - 1] = False
+            extra = np.cumsum(inside & ~is_shared[:, None, :], axis=2, dtype=np.int16)
+            counted = inside & is_shared[:, None, :] & (extra + up_to[:, None, :] <= size[part, None, None])
+            shared = np.where(valid, counted.sum(axis=2), -1)
+            top = shared.max(axis=1)
+            best = shared == top[:, None]
+            one, last = best.argmax(axis=1), used - 1 - best[:, ::-1].argmax(axis=1)
+            each = np.arange(len(part))
+            found = np.stack([part, top, opens[each, one], opens[each, last], inside[each, last].sum(axis=1)], axis=1)
+            rows.append(found[top > 0])
+    return np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _scored(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, found = [], []
-        start, end, length = (batch.column(c).to_pylist() for c in ("region_start", "region_end", "length"))
+        start, end, length = (_numbers(batch.column(c)) for c in ("region_start", "region_end", "length"))
+        regions = np.arange(batch.num_rows)
         sketches, blocks = batch.column("minimizers"), batch.column("blocks")
-        for i in range(batch.num_rows):
-            query = sketches[i].values.to_numpy(zero_copy_only=False)
-            parts = blocks[i].values
-            order = np.argsort(parts.field("block").to_numpy(zero_copy_only=False))
-            at, keys = ([parts.field(f)[int(b)].values.to_numpy(zero_copy_only=False) for b in order] for f in ("at", "keys"))
-            at, keys = np.concatenate(at), np.concatenate(keys)
-            reach = (at >= start[i]) & (at < end[i] + length[i])
-            best = best_window(query, at[reach], keys[reach], start[i], end[i], max(0, length[i] - (w - 1) - (k - 1)))
-            if best is not None:
-                rows.append(i)
-                found.append((len(query), *best))
-        kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in _KEPT]
-        numbers = np.array(found, np.int64).reshape(len(found), 5)
-        own = [pa.array(numbers[:, c]) for c in range(5)]
+        size = _numbers(sketches.value_lengths())
+        owner, query = np.repeat(regions, size), _numbers(sketches.flatten())
+        parts = blocks.flatten()
+        of_part = np.repeat(regions, _numbers(blocks.value_lengths()))
+        places, keys = parts.field("at"), parts.field("keys")
+        member = np.repeat(of_part, _numbers(places.value_lengths()))
+        places, keys = _numbers(places.flatten()), _numbers(keys.flatten())
+        reach = (places >= start[member]) & (places < end[member] + length[member])
+        member, places, keys = member[reach], places[reach], keys[reach]
+        order = np.lexsort((places, member))
+        width = np.maximum(0, length - (w - 1) - (k - 1))
+        found = best_windows(owner, query, member[order], places[order], keys[order], start, end, width)
+        kept = [batch.column(c).take(pa.array(found[:, 0])) for c in _KEPT]
+        own = [pa.array(size[found[:, 0]]), *[pa.array(found[:, c]) for c in range(1, 5)]]
         yield pa.RecordBatch.from_arrays([*kept, *own], names=[*_KEPT, *_FOUND])
 
 
@@ -86,28 +154,29 @@ _KEPT = ["query_id", "fragment_id", "file_id", "contig_id", "region_start", "reg
 _FOUND = ["sketch", "shared", "first_start", "last_start", "reference_keys"]
 
 
-def blocks_of(index: DataFrame) -> DataFrame:
-    """(contig_id, block, at, keys): the index as one row for each BLOCK of a contig, positions ascending."""
-    pairs = index.groupBy("contig_id", F.shiftright("pos", BLOCK_BITS).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("m")
-    )
+def blocks_of(index: DataFrame, block_bits: int) -> DataFrame:
+    """(contig_id, block, at, keys): the index as one row for every 2**block_bits letters of a contig."""
+    pairs = index.groupBy("contig_id", F.shiftright("pos", block_bits).alias("block")).agg(F.collect_list(F.struct("pos", "key")).alias("m"))
     return pairs.select("contig_id", "block", F.col("m.pos").alias("at"), F.col("m.key").alias("keys"))
 
 
-def window_scores(regions: DataFrame, fragments: DataFrame, index: DataFrame, k: int, w: int) -> DataFrame:
+def window_scores(regions: DataFrame, fragments: DataFrame, index: DataFrame, k: int, w: int, fragment_length: int = 3000) -> DataFrame:
     """The best window of every region: its columns, length, sketch, shared, first_start, last_start, reference_keys.
 
-    Regions that share nothing have no row. `fragments` has query_id, fragment_id, length, minimizers.
+    Regions that share nothing have no row. `fragments` has query_id, fragment_id, length, minimizers. The index is
+    joined in blocks about as long as the usual fragment, so a region meets a few blocks and takes little beside
+    what it needs.
     """
+    bits = max(6, (fragment_length - 1).bit_length())
     touched = regions.join(fragments.select("query_id", "fragment_id", "length"), ["query_id", "fragment_id"]).withColumn(
         "block",
-        F.explode(F.sequence(F.shiftright("region_start", BLOCK_BITS), F.shiftright(F.col("region_end") + F.col("length") - 1, BLOCK_BITS))),
+        F.explode(F.sequence(F.shiftright("region_start", bits), F.shiftright(F.col("region_end") + F.col("length") - 1, bits))),
     )
     keys = ["query_id", "fragment_id", "file_id", "contig_id", "region_start", "region_end", "length"]
     gathered = (
-        touched.join(blocks_of(index), ["contig_id", "block"])
+        touched.join(blocks_of(index, bits), ["contig_id", "block"])
         .groupBy(*keys)
-        .agg(F.collect_list(F.struct("block", "at", "keys")).alias("blocks"))
+        .agg(F.collect_list(F.struct("at", "keys")).alias("blocks"))
     )
     whole = gathered.join(fragments.select("query_id", "fragment_id", "minimizers"), ["query_id", "fragment_id"])
     regions_schema = "query_id int, fragment_id long, file_id int, contig_id long, region_start long, region_end long, length long"

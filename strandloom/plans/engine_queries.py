@@ -476,7 +476,7 @@ def scores_of_windows(spark: SparkSession, data_dir: str) -> DataFrame:
     index = materialize(sequence_index(spark, data_dir))
     found = materialize(sequence_fragments(spark, data_dir)).withColumn("min_shared", F.lit(1))
     regions = candidate_regions(seed_hits(found, index), found)
-    return window_scores(regions, found, index, K, W).drop("length")
+    return window_scores(regions, found, index, K, W, LENGTH).drop("length")
 
 
 # Mash ---------------------------------------------------------------------------------------------------------------

@@ -111,7 +111,7 @@ def map_fragments(fragments: DataFrame, index: DataFrame, p: Parameters) -> Data
     least = minimum_shared_column(F.size("seeds"), p.kmer_size, p.mash_threshold, p.mash_confidence)
     sized = fragments.select("query_id", "fragment_id", "length", least.alias("min_shared"))
     regions = candidate_regions(seed_hits(fragments, usable), sized)
-    scores = window_scores(regions, fragments, index, p.kmer_size, p.window_size)
+    scores = window_scores(regions, fragments, index, p.kmer_size, p.window_size, p.fragment_length)
     return mappings_of(scores, p.kmer_size, p.mash_threshold, p.mash_confidence)
 
 

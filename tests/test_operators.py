@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import mash
 from strandloom.functions.dna import minimizers_of_all
 from strandloom.operators.index import frequency_threshold, partition_count, partition_of, plan_shards, shard_of
-from strandloom.operators.scoring import best_window
+from strandloom.operators.scoring import best_window, best_windows
 from strandloom.operators.segments import fragment_starts, mapped_length, n_free_ranges, window_count
 from strandloom.operators.summary import distribution, hidden_support
 from strandloom.params import ParameterError, parse, parse_shards
@@ -88,6 +88,27 @@ def test_best_window_matches_the_plain_form(monkeypatch):
             assert (None if got is None else list(got)) == expected
 
 
+@pytest.mark.parametrize("large", [0, 20, 512])
+def test_many_regions_at_once(monkeypatch, large):
+    monkeypatch.setattr("strandloom.operators.scoring.LARGE", large)
+    rng = random.Random(large)
+    cases = []
+    for _ in range(300):
+        query = sorted(rng.sample(range(40), rng.randrange(0, 15)))
+        start = rng.randrange(150)
+        end, length = start + rng.randrange(60), rng.choice([5, 30, 60])
+        reference = [(p, rng.randrange(60)) for p in sorted(rng.sample(range(250), rng.randrange(120)))]
+        cases.append((query, [(p, k) for p, k in reference if start <= p < end + length], start, end, length))
+    flat = lambda rows: np.array(list(rows), np.int64)
+    found = best_windows(
+        flat(i for i, c in enumerate(cases) for _ in c[0]), flat(q for c in cases for q in c[0]),
+        flat(i for i, c in enumerate(cases) for _ in c[1]), flat(p for c in cases for p, _ in c[1]), flat(k for c in cases for _, k in c[1]),
+        flat(c[2] for c in cases), flat(c[3] for c in cases), flat(max(0, c[4] - 5) for c in cases),
+    )
+    expected = {i: plain_score(*c, 3, 4) for i, c in enumerate(cases)}
+    assert {r[0]: r[1:] for r in found.tolist()} == {i: b for i, b in expected.items() if b is not None}
+
+
 def test_frequency_threshold(spark):
     def threshold(counts, percent):
         df = spark.createDataFrame([(1, i, h) for i, h in enumerate(counts)], "shard int, key long, hits long")
