@@ -10,6 +10,8 @@ A slice number is a hash of the row's own values, so a recomputed task after a l
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,8 +113,14 @@ def per_key_totals(
 
 def heavy_keys(totals: DataFrame, share: float) -> DataFrame:
     """The keys of `per_key_totals` whose total is at least `share` of the total over all keys."""
-    overall = totals.agg(F.sum("total").alias("overall"))
-    return totals.filter(F.col("total") >= F.lit(share) * overall.scalar())
+    return totals.filter(is_heavy(totals, share))
+
+
+def is_heavy(totals: DataFrame, share: float) -> Column:
+    """Whether a key's total is at least `share` of all, compared in whole numbers: 0.01 is one hundredth exactly."""
+    part = Fraction(str(share))
+    overall = totals.agg(F.sum("total").alias("overall")).scalar()
+    return F.col("total") * F.lit(part.denominator) >= overall * F.lit(part.numerator)
 
 
 def running_totals(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators.intervals import periods_and_gaps
-from strandloom.operators.skew import heavy_keys, per_key_totals, running_totals
+from strandloom.operators.skew import heavy_keys, is_heavy, per_key_totals, running_totals
 from strandloom.session import table
 
 KEY_SPACE = 2**32
@@ -30,12 +30,11 @@ def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def p4_key_totals(spark: SparkSession, data_dir: str) -> DataFrame:
     totals = _key_totals(spark, data_dir)
-    overall = totals.agg(F.sum("total").alias("overall")).scalar()
     return totals.select(
         F.col("key").alias("minimizer_key"),
         "records",
         F.col("total").alias("hit_count"),
-        (F.col("total") >= F.lit(HEAVY_SHARE) * overall).alias("is_heavy"),
+        is_heavy(totals, HEAVY_SHARE).alias("is_heavy"),
     )
 
 
@@ -71,12 +70,12 @@ ORACLE = {
     "p4_found": f"""
 WITH {_RECORDS},
 totals AS (SELECT k, sum(h) AS total FROM records GROUP BY k)
-SELECT k AS minimizer_key FROM totals WHERE total >= 0.01 * (SELECT sum(total) FROM totals)""",
+SELECT k AS minimizer_key FROM totals WHERE total * 100 >= (SELECT sum(total) FROM totals)""",
     "p4_key_totals": f"""
 WITH {_RECORDS},
 totals AS (SELECT k, CAST(count(*) AS BIGINT) AS records, CAST(sum(h) AS BIGINT) AS total FROM records GROUP BY k)
 SELECT k AS minimizer_key, records, total AS hit_count,
-       total >= 0.01 * (SELECT sum(total) FROM totals) AS is_heavy FROM totals""",
+       total * 100 >= (SELECT sum(total) FROM totals) AS is_heavy FROM totals""",
     "p4_running_hits": f"""
 WITH {_RECORDS}
 SELECT k AS minimizer_key, record_id,
