@@ -84,13 +84,15 @@ def _again(marks: np.ndarray) -> np.ndarray:
     return same
 
 
-def measure(texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each rule, the repeated amount and the whole of every text; of `runs` these are words, exactly.
+Hashed = tuple[np.ndarray, np.ndarray, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def hash_parts(texts: list[str]) -> Hashed:
+    """The words of the texts (hash, text number), and their lines, paragraphs and sentences (hash, text number, size).
 
-    Words, lines and so on are compared by 64-bit hashes of their characters, each text for itself.
+    A hash is of the characters alone, in lower case, wherever they stand.
     """
     joined = "\n\n".join(texts) + "\n\n"
-    n_docs = len(texts)
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     letter_of, mixed_of = _codepoint_tables()
     letters = letter_of[codes]
@@ -100,9 +102,7 @@ def measure(texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     for at in np.flatnonzero(codes == _CAPITAL_SIGMA):
         if before[at] and not after[at]:
             values[at] = mixed_of[_FINAL_SIGMA]
-    lengths = np.array([len(t) for t in texts], np.int64)
-    doc_ends = np.cumsum(lengths + 2)
-    doc_starts = doc_ends - lengths - 2
+    doc_ends = np.cumsum(np.array([len(t) + 2 for t in texts], np.int64))
     up, down = _powers(len(codes))
     sums = np.r_[np.uint64(0), np.cumsum(values * up)]
 
@@ -112,13 +112,28 @@ def measure(texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     def docs_of(start: np.ndarray) -> np.ndarray:
         return np.searchsorted(doc_ends, start, side="right")
 
-    def salted(marks: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        return marks ^ _mix(doc.astype(np.uint64) + np.uint64(1))
-
     start, end = np.flatnonzero(letters & ~before), np.flatnonzero(letters & ~after) + 1
-    words, doc = hashes(start, end), docs_of(start)
+    segments = {}
+    newline = codes == 10
+    blank = newline & np.r_[newline[1:], True]
+    stop = np.isin(codes, (46, 33, 63)) & np.r_[np.isin(codes[1:], (32, 10)), True]
+    for rule, ends in (("lines", newline), ("paragraphs", blank), ("sentences", stop | blank)):
+        cut = np.flatnonzero(ends)
+        begin = np.r_[0, cut[:-1] + 1]
+        keep = cut - begin >= LEAST_SEGMENT
+        begin, cut = begin[keep], cut[keep]
+        segments[rule] = hashes(begin, cut), docs_of(begin), (cut - begin).astype(float)
+    return hashes(start, end), docs_of(start), segments
+
+
+def judge(hashed: Hashed, n_docs: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each rule, the repeated amount and the whole of every text; of `runs` these are words, exactly."""
+    words, doc, segments = hashed
     n_words = np.bincount(doc, minlength=n_docs)
 
+    def salted(marks: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        return marks ^ _mix(doc.astype(np.uint64) + np.uint64(1))
+
     def grams(size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the runs of `size` words within a text, and their hashes."""
         n = len(words) - size + 1
@@ -137,29 +152,49 @@ def measure(texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     change -= np.r_[np.zeros(RUN_WORDS, np.int64), change[:-RUN_WORDS]]
     covered = np.cumsum(change)[: len(words)] > 0
     found["runs"] = np.bincount(doc[covered], minlength=n_docs), n_words
-
-    newline = codes == 10
-    blank = newline & np.r_[newline[1:], True]
-    stop = np.isin(codes, (46, 33, 63)) & np.r_[np.isin(codes[1:], (32, 10)), True]
-    for rule, ends in (("lines", newline), ("paragraphs", blank), ("sentences", stop | blank)):
-        cut = np.flatnonzero(ends)
-        begin = np.r_[0, cut[:-1] + 1]
-        keep = cut - begin >= LEAST_SEGMENT
-        begin, cut = begin[keep], cut[keep]
-        d = docs_of(begin)
-        dup = _again(salted(hashes(begin, cut), d))
-        size = (cut - begin).astype(float)
+    for rule, (marks, d, size) in segments.items():
+        dup = _again(salted(marks, d))
         total = np.bincount(d, size, minlength=n_docs)
         share = np.divide(np.bincount(d[dup], size[dup], minlength=n_docs), total, out=np.zeros(n_docs), where=total > 0)
         count = np.bincount(d, minlength=n_docs)
         found[rule] = share * count, count
-
     at, marks = grams(3)
-    triples = np.bincount(doc[at], minlength=n_docs)
-    found["variety"] = np.bincount(doc[at[_again(marks)]], minlength=n_docs), triples
+    found["variety"] = np.bincount(doc[at[_again(marks)]], minlength=n_docs), np.bincount(doc[at], minlength=n_docs)
     return found
 
 
+def cut_long(text: str, most: int) -> Iterator[str]:
+    """The text in parts of about `most` characters, cut where no word is: at a paragraph's or a line's end, or else
+    before some other character that is no letter."""
+    at = 0
+    while len(text) - at > most:
+        end = at + most
+        for mark in ("\n\n", "\n"):
+            found = text.rfind(mark, at + 1, end)
+            if found > at:
+                end = found + len(mark)
+                break
+        else:
+            found = _not_letter.search(text, end)
+            end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+_not_letter = regex.compile(r"\P{L}")
+
+
+def measure(texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """`judge` of some texts, each for itself. A text that is longer than AT_A_TIME is hashed in parts, to keep its
+    characters from being held all at once, and judged as a whole; it must be the only one."""
+    if len(texts) > 1 or len(texts[0]) <= AT_A_TIME:
+        return judge(hash_parts(texts), len(texts))
+    parts = [hash_parts([part]) for part in cut_long(texts[0], AT_A_TIME)]
+    segments = {rule: tuple(np.concatenate(x) for x in zip(*(p[2][rule] for p in parts), strict=True)) for rule in parts[0][2]}
+    return judge((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), segments), 1)
+
+
 def votes(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The vote pattern of every text: one digit to the base 3 for each rule, the first rule in the lowest."""
     pattern = np.zeros(len(found["runs"][0]), np.int64)
@@ -201,7 +236,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(ends, base + AT_A_TIME, side="right")))
+            end = max(at + 1, int(np.searchsorted(ends, base + AT_A_TIME, side="right")))  # bytes, so no more characters
             part = batch.slice(at, end - at)
             found = measure([t or "" for t in part.column("text").to_pylist()])
             repeated, words = found["runs"]

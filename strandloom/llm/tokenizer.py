@@ -41,6 +41,8 @@ START = -1
 WORDS_KEPT = 300_000
 ARCS_KEPT = 2_000_000
 LONGEST_KEPT = 64
+#: Letters of text that are encoded before their ids are handed on.
+HANDED_ON = 4_000_000
 
 
 def read_ranks(name: str, folder: str = TOKENIZER_DIR) -> list[bytes]:
@@ -163,7 +165,7 @@ class Automaton:
             return []
         ids: list[int] = []
         known, encode_word = self.words, self.encode_word
-        for word in split_words(text):
+        for word in words_of(text):
             ids += known.get(word) or encode_word(word)
         return ids
 
@@ -171,7 +173,7 @@ class Automaton:
         if not text:
             return 0
         known, encode_word = self.words, self.encode_word
-        return sum(len(known.get(word) or encode_word(word)) for word in split_words(text))
+        return sum(len(known.get(word) or encode_word(word)) for word in words_of(text))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Follow the arcs from the start and emit their labels; a sequence that the automaton does not accept is
@@ -187,7 +189,13 @@ class Automaton:
         return True
 
 
-split_words = regex.compile(WORD_PATTERN).findall
+_word = regex.compile(WORD_PATTERN)
+
+
+def words_of(text: str) -> Iterable[str]:
+    """The words of a text, all at once unless there would be very many."""
+    return _word.findall(text) if len(text) < HANDED_ON else (found.group() for found in _word.finditer(text))
+
 
 _loaded: dict[int, Automaton] = {}
 _lock = threading.Lock()
@@ -210,10 +218,6 @@ def worker_automaton(shared: Broadcast) -> Automaton:
         return _loaded[key]
 
 
-#: Letters of text that are encoded before their ids are handed on.
-HANDED_ON = 4_000_000
-
-
 def _slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Parts of a batch with few enough letters to hold, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

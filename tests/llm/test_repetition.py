@@ -37,6 +37,17 @@ def test_shares_against_the_definition(seed):
     assert list(zip(words.tolist(), repeated.tolist())) == [plain(t) for t in texts]
 
 
+@pytest.mark.parametrize("most", [3, 17, 60])
+def test_long_texts_in_parts(monkeypatch, most):
+    texts = [*made_up(7, 80), "x" * 200, "ab" * 30 + " " + "ab" * 30, "a " * 300, "Σα" * 50 + "Σ ά\n\n\nb"]
+    whole = [measure([t])["runs"] for t in texts]
+    monkeypatch.setattr(r, "AT_A_TIME", most)
+    for text, (repeated, words) in zip(texts, whole):
+        assert "".join(r.cut_long(text, most)) == text
+        again = measure([text])
+        assert (again["runs"][0][0], again["runs"][1][0]) == (repeated[0], words[0]) == plain(text)[::-1]
+
+
 def test_texts_are_measured_apart():
     text = "one two three four five six seven eight nine ten"
     repeated, _ = measure([text, text, text])["runs"]

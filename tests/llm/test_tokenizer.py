@@ -34,6 +34,13 @@ def test_same_ids_as_the_library(both):
         assert automaton.count(text) == len(ids)
 
 
+def test_long_texts(both, monkeypatch):
+    monkeypatch.setattr("strandloom.llm.tokenizer.HANDED_ON", 10)
+    automaton, library = both
+    for text in made_up(200, 9):
+        assert automaton.encode(text) == library.encode_ordinary(text)
+
+
 def test_accepts_only_what_the_merges_give(both):
     automaton, library = both
     rng = random.Random(2)
