@@ -154,27 +154,32 @@ _KEPT = ["query_id", "fragment_id", "file_id", "contig_id", "region_start", "reg
 _FOUND = ["sketch", "shared", "first_start", "last_start", "reference_keys"]
 
 
-def blocks_of(index: DataFrame, block_bits: int) -> DataFrame:
-    """(contig_id, block, at, keys): the index as one row for every 2**block_bits letters of a contig."""
-    pairs = index.groupBy("contig_id", F.shiftright("pos", block_bits).alias("block")).agg(F.collect_list(F.struct("pos", "key")).alias("m"))
-    return pairs.select("contig_id", "block", F.col("m.pos").alias("at"), F.col("m.key").alias("keys"))
+def block_bits(fragment_length: int) -> int:
+    """Blocks are about as long as the usual fragment: a region meets a few and takes little beside what it needs."""
+    return max(6, (fragment_length - 1).bit_length())
 
 
-def window_scores(regions: DataFrame, fragments: DataFrame, index: DataFrame, k: int, w: int, fragment_length: int = 3000) -> DataFrame:
+def blocks_of(index: DataFrame, fragment_length: int) -> DataFrame:
+    """(shard, contig_id, block, at, keys): the index as one row for every 2**block_bits letters of a contig."""
+    block = F.shiftright("pos", block_bits(fragment_length)).alias("block")
+    pairs = index.groupBy("shard", "contig_id", block).agg(F.collect_list(F.struct("pos", "key")).alias("m"))
+    return pairs.select("shard", "contig_id", "block", F.col("m.pos").alias("at"), F.col("m.key").alias("keys"))
+
+
+def window_scores(regions: DataFrame, fragments: DataFrame, blocks: DataFrame, k: int, w: int, fragment_length: int) -> DataFrame:
     """The best window of every region: its columns, length, sketch, shared, first_start, last_start, reference_keys.
 
-    Regions that share nothing have no row. `fragments` has query_id, fragment_id, length, minimizers. The index is
-    joined in blocks about as long as the usual fragment, so a region meets a few blocks and takes little beside
-    what it needs.
+    Regions that share nothing have no row. `fragments` has query_id, fragment_id, length, minimizers; `blocks` are
+    the index's `blocks_of` the same fragment length.
     """
-    bits = max(6, (fragment_length - 1).bit_length())
+    bits = block_bits(fragment_length)
     touched = regions.join(fragments.select("query_id", "fragment_id", "length"), ["query_id", "fragment_id"]).withColumn(
         "block",
         F.explode(F.sequence(F.shiftright("region_start", bits), F.shiftright(F.col("region_end") + F.col("length") - 1, bits))),
     )
     keys = ["query_id", "fragment_id", "file_id", "contig_id", "region_start", "region_end", "length"]
     gathered = (
-        touched.join(blocks_of(index, bits), ["contig_id", "block"])
+        touched.join(blocks.drop("shard"), ["contig_id", "block"])
         .groupBy(*keys)
         .agg(F.collect_list(F.struct("at", "keys")).alias("blocks"))
     )

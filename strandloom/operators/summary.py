@@ -58,25 +58,30 @@ def pair_summary(best: DataFrame, queries: DataFrame, length: int) -> DataFrame:
     )
 
 
-def contig_summary(best: DataFrame, fragments: DataFrame, files: DataFrame) -> DataFrame:
+def contig_summary(best: DataFrame, fragments: DataFrame, files: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
     """One row for every reference file and query contig, those without a mapping included (NaN).
 
     `best` has query_contig; `fragments` query_id, contig_id, length; `files` is the list of reference file ids, the
-    one factor of the output besides the query's contigs.
+    one factor of the output besides the query's contigs. `contigs` (query_id, query_contig, ...) adds those that
+    have no fragment.
     """
     eligible = fragments.groupBy("query_id", F.col("contig_id").alias("query_contig")).agg(
         F.count(F.lit(1)).alias("eligible_fragments"), F.sum("length").alias("mapped_length")
     )
-    every = eligible.withColumn("file_id", F.explode(F.array(*[F.lit(f) for f in sorted(r.file_id for r in files.select("file_id").distinct().collect())])))
+    if contigs is not None:
+        eligible = contigs.join(eligible, ["query_id", "query_contig"], "left").fillna(0, ["eligible_fragments", "mapped_length"])
+    numbers = sorted(r.file_id for r in files.select("file_id").distinct().collect())
+    every = eligible.withColumn("file_id", F.explode(F.array(*[F.lit(f) for f in numbers])))
     groups = ["query_id", "file_id", "query_contig"]
     summed = every.join(distribution(best, groups), groups, "left")
+    named = [] if contigs is None else [c for c in contigs.columns if c not in groups]
     return summed.select(
         *groups,
+        *named,
         "eligible_fragments",
         F.coalesce("shared_fragments", F.lit(0)).alias("shared_fragments"),
+        F.coalesce("shared_bases", F.lit(0)).alias("shared_bases"),
         or_nan(F.try_divide("weighted_identity", "shared_bases")).alias("ani"),
-        or_nan(F.coalesce(F.try_divide("shared_bases", "mapped_length"), F.lit(None))).alias("af"),
-        "mapped_length",
         *[or_nan(F.col(c)).alias(c) for c in ("median", "stddev", "mad", "ci_95_upper", "ci_95_lower", "f99", "f80")],
     )
 

@@ -25,7 +25,7 @@ from strandloom.operators.index import (
 )
 from strandloom.operators.reciprocal import query_best, reciprocal_best, reference_best, with_reciprocal_flag
 from strandloom.operators.regions import candidate_bands, candidate_regions, merge_bands, seed_hits
-from strandloom.operators.scoring import window_scores
+from strandloom.operators.scoring import blocks_of, window_scores
 from strandloom.operators.segments import fragment_starts, fragments_of, mapped_length, minimizer_estimate, split_on_n, window_count
 from strandloom.operators.sketch import fragment_sketches, query_totals, reference_minimizers
 from strandloom.operators.summary import contig_summary, distribution, pair_summary, run_summary
@@ -476,7 +476,7 @@ def scores_of_windows(spark: SparkSession, data_dir: str) -> DataFrame:
     index = materialize(sequence_index(spark, data_dir))
     found = materialize(sequence_fragments(spark, data_dir)).withColumn("min_shared", F.lit(1))
     regions = candidate_regions(seed_hits(found, index), found)
-    return window_scores(regions, found, index, K, W, LENGTH).drop("length")
+    return window_scores(regions, found, blocks_of(index, LENGTH), K, W, LENGTH).drop("length")
 
 
 # Mash ---------------------------------------------------------------------------------------------------------------
@@ -661,7 +661,7 @@ def compared(spark: SparkSession, data_dir: str):
     known = contigs(spark, data_dir)
     index = materialize(sequence_index(spark, data_dir))
     files = known.select("file_id").distinct().withColumn("shard", F.lit(1))
-    return compare(known, Reference(index, known, files), SETTINGS)
+    return compare(known, Reference(index, blocks_of(index, LENGTH), known, files), SETTINGS)
 
 
 @query(

@@ -7,14 +7,15 @@ import time
 from dataclasses import dataclass
 from typing import TextIO
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.mash import minimum_shared_column
 from strandloom.operators.index import index_summary, plan_shards, shard_of, usable_index
 from strandloom.operators.reciprocal import reciprocal_best, with_reciprocal_flag
 from strandloom.operators.regions import candidate_regions, seed_hits
-from strandloom.operators.scoring import mappings_of, window_scores
+from strandloom.operators.scoring import blocks_of, mappings_of, window_scores
 from strandloom.operators.segments import mapped_length, minimizer_estimate, split_on_n
 from strandloom.operators.sketch import query_fragments, query_totals, reference_minimizers
 from strandloom.operators.summary import contig_summary, pair_summary
@@ -28,6 +29,7 @@ from strandloom.sources.fasta import read_contigs
 @dataclass
 class Reference:
     index: DataFrame  # shard, file_id, contig_id, key, pos
+    blocks: DataFrame  # shard, contig_id, block, at, keys
     contigs: DataFrame  # contig_id, file_id, shard, name, segment_start, segment_end
     files: DataFrame  # file_id, shard, label, mapped_length
 
@@ -65,7 +67,8 @@ def build_reference(contigs: DataFrame, files: DataFrame, p: Parameters) -> tupl
     shard = shard_of(F.col("file_id"), shards).alias("shard")
     positioned = reference_minimizers(segments, ["file_id", "contig_id"], p.kmer_size, p.window_size, p.hash_seed)
     dims = segments.select("contig_id", "file_id", shard, "name", "segment_start", "segment_end")
-    return Reference(positioned.select(shard, "*"), dims, known.select("file_id", shard, "label", "mapped_length")), shards
+    index = positioned.select(shard, "*")
+    return Reference(index, blocks_of(index, p.fragment_length), dims, known.select("file_id", shard, "label", "mapped_length")), shards
 
 
 def load_reference(spark: SparkSession, p: Parameters, log: TextIO) -> Reference:
@@ -77,14 +80,15 @@ def load_reference(spark: SparkSession, p: Parameters, log: TextIO) -> Reference
         manifest = database.load_manifest(folder, p)
         if p.references and manifest["reference_checksum"] != database.checksum([g.label for g in p.references]):
             print(f"WARNING: the sketch {folder} was built from other references", file=log)
-        return Reference(*database.read(spark, folder, database.chosen_shards(manifest, p.shard_numbers())))
+        return Reference(*database.read(spark, folder, manifest, database.chosen_shards(manifest, p.shard_numbers())))
     if not p.references:
         raise ParameterError(f"there is no sketch {folder} and no reference to build it from")
     contigs = read_contigs(spark, p.references, "reference")
     files = spark.createDataFrame([(i, g.label) for i, g in enumerate(p.references)], "file_id int, label string")
     built, planned = build_reference(contigs, files, p)
     if folder is None:
-        return Reference(materialize(built.index), built.contigs, built.files)
+        index = materialize(built.index)
+        return Reference(index, blocks_of(index, p.fragment_length), built.contigs, built.files)
     summary = {r.shard: r for r in index_summary(built.index).collect()}
     segments = {r.shard: r.n for r in built.contigs.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     lengths = {r.shard: r.n for r in built.files.groupBy("shard").agg(F.sum("mapped_length").alias("n")).collect()}
@@ -100,18 +104,21 @@ def load_reference(spark: SparkSession, p: Parameters, log: TextIO) -> Reference
         }
         for n, (first, count, _) in enumerate(planned, 1)
     ]
-    database.write(folder, p, built.index, built.contigs, built.files, shards)
+    database.write(folder, p, built.index, built.blocks, built.contigs, built.files, shards)
     manifest = database.load_manifest(folder, p)
-    return Reference(*database.read(spark, folder, database.chosen_shards(manifest, p.shard_numbers())))
+    return Reference(*database.read(spark, folder, manifest, database.chosen_shards(manifest, p.shard_numbers())))
 
 
-def map_fragments(fragments: DataFrame, index: DataFrame, p: Parameters) -> DataFrame:
-    """All mappings of the fragments on the index, before any is preferred to another."""
-    usable = usable_index(index, p.max_reference_frequency)
+def map_fragments(fragments: DataFrame, reference: Reference, p: Parameters, watch: Observation | None = None) -> DataFrame:
+    """All mappings of the fragments on the index, before any is preferred to another. `watch` gets the number of
+    candidate regions while the plan runs."""
+    usable = usable_index(reference.index, p.max_reference_frequency)
     least = minimum_shared_column(F.size("seeds"), p.kmer_size, p.mash_threshold, p.mash_confidence)
     sized = fragments.select("query_id", "fragment_id", "length", least.alias("min_shared"))
     regions = candidate_regions(seed_hits(fragments, usable), sized)
-    scores = window_scores(regions, fragments, index, p.kmer_size, p.window_size, p.fragment_length)
+    if watch is not None:
+        regions = regions.observe(watch, F.count(F.lit(1)).alias("regions"))
+    scores = window_scores(regions, fragments, reference.blocks, p.kmer_size, p.window_size, p.fragment_length)
     return mappings_of(scores, p.kmer_size, p.mash_threshold, p.mash_confidence)
 
 
@@ -137,15 +144,34 @@ class Comparison:
     mappings: DataFrame
     best: DataFrame
     pairs: DataFrame
+    regions: int  # candidate regions that were scored
 
 
 def compare(query_contigs: DataFrame, reference: Reference, p: Parameters) -> Comparison:
     """Everything about all queries and references; fragments and mappings are written once, as several results use them."""
     fragments = materialize(fragments_of_queries(query_contigs, p))
-    mappings = materialize(map_fragments(fragments, reference.index, p))
+    watch = Observation("candidate regions")
+    mappings = materialize(map_fragments(fragments, reference, p, watch))
     best = reciprocal_best(mappings, p.fragment_length)
     queries = query_totals(fragments)
-    return Comparison(fragments, queries, mappings, best, pair_summary(best, queries, p.fragment_length))
+    pairs = pair_summary(best, queries, p.fragment_length)
+    try:
+        regions = watch.get["regions"]
+    except Py4JJavaError:  # the planner cut off a part of the plan that has no rows, and with it what watched them
+        regions = 0
+    return Comparison(fragments, queries, mappings, best, pairs, regions)
+
+
+class _Progress:
+    """Lines on what a run has done, with the time since it began and the driver's memory."""
+
+    def __init__(self, wanted: bool, log: TextIO, began: float) -> None:
+        self.wanted, self.log, self.began = wanted, log, began
+
+    def __call__(self, stage: str, event: str) -> None:
+        if self.wanted:
+            facts = {"stage": stage, "event": event, "rss_gib": report.number(report.memory_gib(), 3), "elapsed_s": report.number(time.time() - self.began, 3)}
+            print("PROGRESS", *[f"{k}={v}" for k, v in facts.items()], sep="\t", file=self.log)
 
 
 def run(p: Parameters, spark: SparkSession | None = None, stdout: TextIO = sys.stdout, stderr: TextIO = sys.stderr) -> None:
@@ -158,17 +184,21 @@ def run(p: Parameters, spark: SparkSession | None = None, stdout: TextIO = sys.s
             print(echo(p), file=stderr)
         if not p.is_standard:
             print("WARNING: fragments overlap or vary in length; results differ from those of whole adjacent ones", file=stderr)
+        progress = _Progress(p.verbose, stderr, began)
         reference = load_reference(spark, p, stderr)
+        progress("reference", "ready")
         if not p.queries:
             return
         contigs = read_contigs(spark, p.queries, "query")
         result = compare(contigs, reference, p)
+        progress("mapping", "complete")
         usable = {r.query_id for r in result.queries.select("query_id").collect()}
         if not p.per_contig and len(p.queries) == 1 and not usable:
             raise ParameterError(f"no usable fragments in query {p.queries[0].label}")
-        written = report.write_all(spark, p, result, reference, contigs, usable, stdout)
+        written = report.write_all(p, result, reference, contigs, stdout)
+        progress("output", "written")
         if not p.quiet:
-            print(report.summary_line(p, written, reference, time.time() - began), file=stderr)
+            print(report.summary_line(p, written, result.regions, reference, time.time() - began), file=stderr)
     finally:
         if own:
             spark.stop()
@@ -178,6 +208,7 @@ def mapping_flags(result: Comparison, p: Parameters) -> DataFrame:
     return with_reciprocal_flag(result.mappings, p.fragment_length)
 
 
-def contigs_of(result: Comparison, reference: Reference) -> DataFrame:
-    named = result.fragments.select("query_id", "fragment_id", F.col("contig_id").alias("query_contig"))
-    return contig_summary(result.best.join(named, ["query_id", "fragment_id"]), result.fragments, reference.files)
+def contigs_of(result: Comparison, reference: Reference, contigs: DataFrame) -> DataFrame:
+    placed = result.fragments.select("query_id", "fragment_id", F.col("contig_id").alias("query_contig"))
+    every = contigs.select(F.col("file_id").alias("query_id"), F.col("contig_id").alias("query_contig"), "name")
+    return contig_summary(result.best.join(placed, ["query_id", "fragment_id"]), result.fragments, reference.files, every)

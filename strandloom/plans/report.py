@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import TYPE_CHECKING, TextIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
@@ -46,7 +46,7 @@ def _target(path: str | None, otherwise: TextIO) -> Iterator[TextIO]:
             yield file
 
 
-def write_mapping_stats(spark: SparkSession, p: Parameters, flagged: DataFrame, result: Comparison, reference: Reference, contigs: DataFrame) -> None:
+def write_mapping_stats(p: Parameters, flagged: DataFrame, result: Comparison, reference: Reference, contigs: DataFrame) -> None:
     """One row for every mapping, streamed to the driver partition by partition in output order."""
     fragments = result.fragments.select("query_id", "fragment_id", F.col("contig_id").alias("query_contig_id"), "frag_start", "frag_end")
     query_names = contigs.select(F.col("file_id").alias("query_id"), F.col("contig_id").alias("query_contig_id"), F.col("name").alias("query_contig"))
@@ -85,65 +85,66 @@ def write_mapping_stats(spark: SparkSession, p: Parameters, flagged: DataFrame,
             )
 
 
-def write_all(
-    spark: SparkSession, p: Parameters, result: Comparison, reference: Reference, contigs: DataFrame, usable: set[int], stdout: TextIO
-) -> list:
-    """Write the results and, if asked for, the mapping stats; returns the pair rows that were emitted."""
+def write_all(p: Parameters, result: Comparison, reference: Reference, contigs: DataFrame, stdout: TextIO) -> list:
+    """Write the results and, if asked for, the mapping stats; returns the pair rows that were emitted.
+
+    Rows come to the driver in output order, a partition at a time; what it keeps is one row per emitted pair.
+    """
     from strandloom.plans.pipeline import contigs_of, mapping_flags
 
     files = reference.files.select("file_id", "label").orderBy("file_id").collect()
+    labels = {r.file_id: r.label for r in files}
     pairs = result.pairs.orderBy("query_id", "file_id").collect()
-    known = {(r.query_id, r.file_id): r for r in pairs}
     if p.mapping_stats is not None:
-        write_mapping_stats(spark, p, mapping_flags(result, p), result, reference, contigs)
+        write_mapping_stats(p, mapping_flags(result, p), result, reference, contigs)
     with _target(p.out, stdout) as out:
-        if not p.per_contig:
+        if p.per_contig:
+            lengths = {r.query_id: r.mapped_length for r in result.queries.collect()}
+            rows = contigs_of(result, reference, contigs).orderBy("query_id", "file_id", "query_contig").toLocalIterator()
+            _write_contigs(p, rows, {(r.query_id, r.file_id): r for r in pairs}, files, lengths, out)
+        else:
             if p.header:
                 print(*PAIR_COLUMNS, sep="\t", file=out)
-            labels = {r.file_id: r.label for r in files}
             for row in pairs:
                 print(pair_line(p.queries[row.query_id].label, labels[row.file_id], row), file=out)
-            return pairs
-        lengths = {r.query_id: r.mapped_length for r in result.queries.collect()}
-        by_query: dict[int, list] = {}
-        for row in contigs_of(result, reference).orderBy("query_id", "file_id", "query_contig").toLocalIterator():
-            by_query.setdefault(row.query_id, []).append(row)
-        summed = {(r.query_id, r.file_id, r.query_contig): r for rows in by_query.values() for r in rows}
-        names: dict[int, list[str]] = {}
-        for r in contigs.select("file_id", "contig_id", "name").orderBy("file_id", "contig_id").toLocalIterator():
-            names.setdefault(r.file_id, []).append(r.name)
-        header_due = p.header
-        for q, query in enumerate(p.queries):
-            print("# aggregate_summary_header", *PAIR_COLUMNS, sep="\t", file=out)
-            for file in files:
-                row = known.get((q, file.file_id))
-                total = lengths.get(q, 0) / p.fragment_length
-                line = pair_line(query.label, file.label, row) if row else "\t".join([query.label, file.label, "NaN", number(0.0, 3) if total else "NaN", number(total, 2), *["NaN"] * len(STATS)])
-                print("# aggregate_summary", line, sep="\t", file=out)
-            if header_due:
-                print(*CONTIG_COLUMNS, sep="\t", file=out)
-                header_due = False
-            for file in files:
-                for c, name in enumerate(names.get(q, [])):
-                    row = summed.get((q, file.file_id, c))
-                    bases = round(row.af * row.mapped_length) if row and not math.isnan(row.af) else 0
-                    stats = [number(row[f] if row else None, 3) for f in ("ani", *_STAT_FIELDS)]
-                    print(query.label, file.label, name, row.eligible_fragments if row else 0, row.shared_fragments if row else 0, bases, *stats, sep="\t", file=out)
     return pairs
 
 
-def summary_line(p: Parameters, pairs: list, reference: Reference, seconds: float) -> str:
+def _write_contigs(p: Parameters, rows: Iterator, pairs: dict, files: list, lengths: dict[int, int], out: TextIO) -> None:
+    """For each query a comment block with all references, then a row for every reference and contig; one header."""
+    labels, row = {r.file_id: r.label for r in files}, next(rows, None)
+    for number_, query in enumerate(p.queries):
+        print("# aggregate_summary_header", *PAIR_COLUMNS, sep="\t", file=out)
+        total = lengths.get(number_, 0) / p.fragment_length
+        for file in files:
+            known = pairs.get((number_, file.file_id))
+            nothing = ["NaN", number(0.0 if total else None, 3), number(total, 2), *["NaN"] * len(STATS)]
+            line = pair_line(query.label, file.label, known) if known else "\t".join([query.label, file.label, *nothing])
+            print("# aggregate_summary", line, sep="\t", file=out)
+        if p.header and number_ == 0:
+            print(*CONTIG_COLUMNS, sep="\t", file=out)
+        while row is not None and row.query_id == number_:
+            stats = [number(row[f], 3) for f in ("ani", *_STAT_FIELDS)]
+            print(query.label, labels[row.file_id], row.name, row.eligible_fragments, row.shared_fragments, row.shared_bases, *stats, sep="\t", file=out)
+            row = next(rows, None)
+
+
+def memory_gib() -> float:
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 2**20
+
+
+def summary_line(p: Parameters, pairs: list, regions: int, reference: Reference, seconds: float) -> str:
     """The closing line: counts, the range of identities and aligned fractions, time and the driver's memory."""
     span = {f"{c}_{n}": number(f((r[c] for r in pairs), default=math.nan), 3) for c in ("ani", "af") for n, f in (("min", min), ("max", max))}
-    memory = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 2**20
     facts = {
         "stage": "execution",
         "event": "complete",
         "queries": len(p.queries),
         "references": reference.files.count(),
         "total_runtime_s": number(seconds, 3),
-        "peak_rss_gib": number(memory, 3),
+        "peak_rss_gib": number(memory_gib(), 3),
         "emitted_pairs": len(pairs),
+        "candidate_regions": regions,
         **span,
     }
     return "SUMMARY\t" + "\t".join(f"{k}={v}" for k, v in facts.items())

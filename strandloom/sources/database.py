@@ -1,15 +1,20 @@
 """A reference database on disk: an index table by shard, its dimension tables and a manifest.
 
     <folder>/manifest.json
-    <folder>/index/shard=<n>/      key, file_id, contig_id, pos; sorted by key within a file
+    <folder>/index/shard=<n>/      key, file_id, contig_id, pos; bucketed and sorted by key
+    <folder>/blocks/shard=<n>/     contig_id, block, at, keys; bucketed by contig and block
     <folder>/contigs/              one row per reference segment
     <folder>/files/                one row per reference file
+
+The large tables are bucketed by what queries join them on, so a comparison shuffles its own fragments and regions but
+never the database. The bucketing is declared to the session anew when a database is read.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from pathlib import Path
 from typing import Any
 
@@ -17,7 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.params import ParameterError, Parameters
 
-FORMAT = 1
+FORMAT = 2
+#: Minimizers that a bucket of a shard aims at.
+BUCKET_MINIMIZERS = 4_000_000
+LARGE = {"index": ("key",), "blocks": ("contig_id", "block")}
 #: What a query must have in common with the database it is run against.
 BINDING = ("kmer_size", "window_size", "hash_seed", "fragment_length", "min_fragment_length", "split_n_run")
 
@@ -42,12 +50,36 @@ def exists(folder: str) -> bool:
     return manifest_path(folder).is_file()
 
 
-def write(folder: str, p: Parameters, index: DataFrame, contigs: DataFrame, files: DataFrame, shards: list[dict[str, Any]]) -> None:
+def _write_bucketed(df: DataFrame, path: str, keys: tuple[str, ...], buckets: int, codec: str) -> None:
+    """Write a table by shard in buckets; its name in the session's catalog is given up again at once."""
+    name = f"strandloom_{uuid.uuid4().hex}"
+    clustered = df.repartition(buckets, *keys)  # by the hash that buckets go by: a task writes one file for a shard
+    writer = clustered.write.mode("overwrite").partitionBy("shard").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.format("parquet").option("compression", codec).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def _read_bucketed(spark: SparkSession, path: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    name = f"strandloom_{uuid.uuid4().hex}"
+    schema = spark.read.parquet(path).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    by = ", ".join(keys)
+    location = str(Path(path).absolute()).replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (shard) CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{location}'")
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
+def write(
+    folder: str, p: Parameters, index: DataFrame, blocks: DataFrame, contigs: DataFrame, files: DataFrame, shards: list[dict[str, Any]]
+) -> None:
     """Write a database; an existing one is replaced. The manifest comes last, so an unfinished one is not found."""
     manifest_path(folder).unlink(missing_ok=True)
     codec = "zstd" if p.bgzip else "snappy"
     options = {"mode": "overwrite", "compression": codec}
-    index.repartition("shard", "key").sortWithinPartitions("shard", "key", "contig_id", "pos").write.partitionBy("shard").parquet(f"{folder}/index", **options)
+    buckets = max(1, -(-max((s["minimizers"] for s in shards), default=0) // BUCKET_MINIMIZERS))
+    for name, table in (("index", index), ("blocks", blocks)):
+        _write_bucketed(table, f"{folder}/{name}", LARGE[name], buckets, codec)
     contigs.write.parquet(f"{folder}/contigs", **options)
     files.write.parquet(f"{folder}/files", **options)
     labels = [g.label for g in p.references]
@@ -55,6 +87,7 @@ def write(folder: str, p: Parameters, index: DataFrame, contigs: DataFrame, file
         "format": FORMAT,
         **binding_of(p),
         "max_shard_minimizers": p.max_shard_minimizers,
+        "buckets": buckets,
         "total_references": len(labels),
         **{f"total_{c}": sum(s[c] for s in shards) for c in ("contigs", "minimizers", "unique_minimizers", "mapped_length")},
         "built": int(time.time()),
@@ -93,9 +126,9 @@ def chosen_shards(manifest: dict[str, Any], wanted: list[int] | None) -> list[in
     return there if wanted is None else wanted
 
 
-def read(spark: SparkSession, folder: str, shards: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Index, contigs and files of these shards; the others are not read."""
-    schema = "key long, file_id int, contig_id long, pos long, shard int"
-    index = spark.read.schema(schema).parquet(f"{folder}/index").where(f"shard IN ({','.join(map(str, shards))})")
-    contigs, files = (spark.read.parquet(f"{folder}/{t}").where(f"shard IN ({','.join(map(str, shards))})") for t in ("contigs", "files"))
-    return index, contigs, files
+def read(spark: SparkSession, folder: str, manifest: dict[str, Any], shards: list[int]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Index, blocks, contigs and files of these shards; the others are not read."""
+    chosen = f"shard IN ({','.join(map(str, shards))})"
+    large = [_read_bucketed(spark, f"{folder}/{name}", keys, manifest["buckets"]).where(chosen) for name, keys in LARGE.items()]
+    small = [spark.read.parquet(f"{folder}/{name}").where(chosen) for name in ("contigs", "files")]
+    return (*large, *small)

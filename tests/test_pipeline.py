@@ -6,6 +6,8 @@ from dataclasses import replace
 import pytest
 from genomes import fasta, mutated, plain_mappings, random_dna, reverse_complement
 
+from pyspark.sql import functions as F
+
 from strandloom.cli import main
 from strandloom.params import Genome, Parameters, parse
 from strandloom.plans import pipeline
@@ -93,6 +95,21 @@ def test_shards_and_database_do_not_change_results(spark, folder, tmp_path):
         outcome(spark, replace(stored, queries=()))
 
 
+def test_a_stored_index_is_not_shuffled(spark, folder, tmp_path, monkeypatch):
+    at, _ = folder
+    monkeypatch.setattr("strandloom.sources.database.BUCKET_MINIMIZERS", 300)
+    p = settings(at, "a", "abc", reference_sketch=str(tmp_path / "db"))
+    plain = outcome(spark, settings(at, "a", "abc"))
+    assert outcome(spark, p) == plain == outcome(spark, replace(p, references=()))
+    reference = pipeline.load_reference(spark, replace(p, references=()), io.StringIO())
+    keys = spark.range(100).select(F.col("id").alias("key"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = keys.join(reference.index, "key")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
 def test_split_at_n_and_segment_offsets(spark, folder, tmp_path):
     at, _ = folder
     stats = tmp_path / "stats.tsv"
@@ -141,6 +158,16 @@ def test_standard_input(spark, folder, monkeypatch):
     assert [r[1:] for r in outcome(spark, p)] == [r[1:] for r in expected]
 
 
+def test_log_lines(spark, folder):
+    at, _ = folder
+    log = io.StringIO()
+    pipeline.run(replace(settings(at, "a", "b"), quiet=False, verbose=True), spark, io.StringIO(), log)
+    lines = log.getvalue().splitlines()
+    assert sum(line.startswith("PROGRESS") for line in lines) == 3
+    facts = dict(x.split("=") for x in lines[-1].split("\t")[1:])
+    assert int(facts["candidate_regions"]) > 0 and facts["emitted_pairs"] == "1"
+
+
 def test_frequent_keys_are_ignored(spark, folder):
     at, _ = folder
     all_keys = outcome(spark, settings(at, "b", "b"))
