@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.mash import mash_distance, upper_identity_column
 
-#: Cells of the window-by-key table that is held at a time.
-CELLS = 4_000_000
+#: Cells of the window-by-key table that is held at a time for a large region; windows that are scored side by side else.
+CELLS, SIDE_BY_SIDE = 1_000_000, 30_000
 #: Regions with more minimizers than this are scored one by one, the others many at a time.
-LARGE = 512
+LARGE = 4096
 
 
 def best_window(
@@ -91,35 +91,56 @@ def best_windows(
     shared_key = (at > 0) & (sorted_query[np.maximum(at - 1, 0)] == wanted) if len(sorted_query) else np.zeros(len(at), bool)
     rank = at - first_query[member[order]]
     repeated = np.r_[False, wanted[1:] == wanted[:-1]] if len(wanted) else np.zeros(0, bool)
+    # windows by the places, among a region's members, of their first one and of the one behind their last
     begin_first = np.cumsum(windows) - windows
-    begin_positions = positions[begins]
-    shape = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64))
+    begin_at = np.flatnonzero(begins)
+    owner_of = member[begin_at]
+    far = np.searchsorted(member << 40 | positions, owner_of << 40 | (positions[begin_at] + width[owner_of]))
+    opening, closing = (begin_at - first_member[owner_of]).astype(np.int16, copy=False), (far - first_member[owner_of]).astype(np.int16, copy=False)
+    place_of = (order - first_member[member]).astype(np.int16)
+    shape = np.where(counts <= 64, np.maximum(8, -(-counts // 8) * 8), -(-counts // 32) * 32)
     for columns in np.unique(shape[usable & (counts <= LARGE)]):
         group = np.flatnonzero(usable & (counts <= LARGE) & (shape == columns))
-        step = max(1, CELLS // int(columns) ** 2)
-        for low in range(0, len(group), step):
-            part = group[low : low + step]
+        group = group[np.argsort(windows[group], kind="stable")]
+        at = 0
+        while at < len(group):
+            step = max(1, SIDE_BY_SIDE // int(windows[group[at]]))
+            part = group[at : at + step]
+            at += step
             cell = np.arange(columns)
-            there = cell < counts[part, None]
-            row = np.where(there, first_member[part, None] + cell, 0)
-            at_key = np.where(there, positions[order[row]], -1)
-            is_shared, up_to, again = there & shared_key[row], rank[row], there & repeated[row]
+            there = (cell < counts[part, None]).T
+            row = np.where(there, first_member[part] + cell[:, None], 0)
+            place = np.where(there, place_of[row], -1).astype(np.int16)
+            is_shared, again = there & shared_key[row], there & repeated[row]
+            room = (size[part] - rank[row]).astype(np.int16)  # keys of the window alone that may come before
             used = int(windows[part].max())
             valid = np.arange(used) < windows[part, None]
-            opens = np.where(valid, begin_positions[np.where(valid, begin_first[part, None] + np.arange(used), 0)], 1 << 60)
-            inside = (at_key[:, None, :] >= opens[:, :, None]) & (at_key[:, None, :] < (opens + width[part, None])[:, :, None])
-            for c in np.flatnonzero(again.any(axis=0)):  # of a key that is there twice, keep one
-                twice = again[:, c]
-                inside[twice, :, c] |= inside[twice, :, c - 1]
-                inside[twice, :, c - 1] = False
-            extra = np.cumsum(inside & ~is_shared[:, None, :], axis=2, dtype=np.int16)
-            counted = inside & is_shared[:, None, :] & (extra + up_to[:, None, :] <= size[part, None, None])
-            shared = np.where(valid, counted.sum(axis=2), -1)
+            nth = np.where(valid, begin_first[part, None] + np.arange(used), 0)
+            opens, closes = opening[nth], np.where(valid, closing[nth], 0).astype(np.int16)
+            own = np.zeros((len(part), used), np.int16)  # keys of the window alone, up to this one
+            shared, present = own.copy(), own.copy()
+            seen = np.zeros(own.shape, bool)
+            for c in cell:  # key by key, smallest first, in all windows of all regions
+                here = place[c, :, None]
+                inside = (here >= opens) & (here < closes)
+                fresh = inside
+                if again[c].any():  # a key that is there twice counts once
+                    seen &= again[c, :, None]
+                    fresh = inside & ~seen
+                    seen |= inside
+                else:
+                    seen = inside
+                present += fresh
+                both = is_shared[c, :, None]
+                shared += fresh & both & (own <= room[c, :, None])
+                own += fresh & ~both
+            shared = np.where(valid, shared, -1)
             top = shared.max(axis=1)
             best = shared == top[:, None]
             one, last = best.argmax(axis=1), used - 1 - best[:, ::-1].argmax(axis=1)
             each = np.arange(len(part))
-            found = np.stack([part, top, opens[each, one], opens[each, last], inside[each, last].sum(axis=1)], axis=1)
+            first_start, last_start = (positions[begin_at[nth[each, x]]] for x in (one, last))
+            found = np.stack([part, top, first_start, last_start, present[each, last]], axis=1).astype(np.int64)
             rows.append(found[top > 0])
     return np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
 

@@ -23,7 +23,22 @@ def n_free_ranges(sequence: str, n_run: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in ranges if b > a]
 
 
-def _segments(batches: Iterator[pa.RecordBatch], n_run: int) -> Iterator[pa.RecordBatch]:
+def fragment_ranges(n: int, length: int, stride: int, least: int) -> list[tuple[int, int]]:
+    """The fragments of a sequence of n letters; see `fragment_starts` for the rules, which this follows for kernels."""
+    if n < max(least, 1):
+        return []
+    if n <= length and not stride == length == least:
+        return [(0, n)]
+    whole = [(at, at + length) for at in range(0, n - length + 1, stride)]
+    if stride == length == least:
+        return whole
+    rest = whole[-1][0] + stride
+    if n - rest >= least:
+        return [*whole, (rest, n)]
+    return [*whole, (n - length, n)] if least == length and whole[-1][1] != n else whole
+
+
+def _segments(batches: Iterator[pa.RecordBatch], n_run: int, with_seq: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, starts, ends, numbers, parts = [], [], [], [], []
         for row, sequence in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
@@ -32,22 +47,27 @@ def _segments(batches: Iterator[pa.RecordBatch], n_run: int) -> Iterator[pa.Reco
                 numbers.append(number)
                 starts.append(a)
                 ends.append(b)
-                parts.append(sequence[a:b])
+                if with_seq:
+                    parts.append(sequence[a:b])
         kept = [c.take(pa.array(rows, type=pa.int64())) for c in batch.columns[:-1]]
-        own = [pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(parts, pa.string())]
-        yield pa.RecordBatch.from_arrays([*kept, *own], names=[*batch.schema.names[:-1], "segment", "segment_start", "segment_end", "seq"])
+        own = [pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
+        names = [*batch.schema.names[:-1], "segment", "segment_start", "segment_end"]
+        if with_seq:
+            own.append(pa.array(parts, pa.string()))
+            names.append("seq")
+        yield pa.RecordBatch.from_arrays([*kept, *own], names=names)
 
 
-def split_on_n(contigs: DataFrame, keys: list[str], n_run: int, seq: str = "seq") -> DataFrame:
-    """(*keys, segment, segment_start, segment_end, seq): the stretches of each sequence between long runs of N.
+def split_on_n(contigs: DataFrame, keys: list[str], n_run: int, seq: str = "seq", with_seq: bool = True) -> DataFrame:
+    """(*keys, segment, segment_start, segment_end, seq if wanted): the stretches of each sequence between long runs of N.
 
     Runs shorter than n_run stay within a segment; n_run 0 keeps every sequence whole. A null or empty sequence, or
     one that is all such runs, has no segments.
     """
     rows = contigs.select(*keys, F.col(seq).alias("seq"))
-    own = T.StructType.fromDDL("segment int, segment_start long, segment_end long, seq string")
+    own = T.StructType.fromDDL("segment int, segment_start long, segment_end long" + ", seq string" * with_seq)
     schema = T.StructType([*rows.schema.fields[:-1], *own.fields])
-    return rows.mapInArrow(lambda batches: _segments(batches, n_run), schema)
+    return rows.mapInArrow(lambda batches: _segments(batches, n_run, with_seq), schema)
 
 
 def fragment_starts(n: Column, length: Column | int, stride: Column | int, least: Column | int) -> Column:
@@ -99,15 +119,3 @@ def window_count(n: Column, k: int, w: int) -> Column:
 def minimizer_estimate(n: Column, k: int, w: int) -> Column:
     """Minimizers to be expected: two for every w + 1 windows."""
     return F.ceil(2 * window_count(n, k, w) / F.lit(float(w + 1))).cast("long")
-
-
-def fragments_of(segments: DataFrame, keys: list[str], length: int, stride: int, least: int) -> DataFrame:
-    """(*keys, segment_start, frag_start, frag_end, seq): the fragments of `split_on_n` segments, positions on the contig."""
-    cut = segments.select(*keys, "segment_start", "seq", F.explode(fragment_starts(F.length("seq"), length, stride, least)).alias("f"))
-    return cut.select(
-        *keys,
-        "segment_start",
-        (F.col("segment_start") + F.col("f.start")).alias("frag_start"),
-        (F.col("segment_start") + F.col("f.end")).alias("frag_end"),
-        F.substring("seq", (F.col("f.start") + 1).cast("int"), (F.col("f.end") - F.col("f.start")).cast("int")).alias("seq"),
-    )

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.functions.dna import minimizers_of_all
-from strandloom.operators.segments import fragments_of, split_on_n
+from strandloom.functions.dna import joined_codes, minimizers_of_all, sketches_of_ranges
+from strandloom.operators.segments import fragment_ranges, n_free_ranges
+from strandloom.session import broadcast_if_small, materialize
 
 #: Letters whose minimizers are computed at a time.
 AT_A_TIME = 2_000_000
@@ -46,24 +47,44 @@ def reference_minimizers(segments: DataFrame, keys: list[str], k: int, w: int, s
     return rows.mapInArrow(lambda batches: _positioned(batches, k, w, seed), schema)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], k: int, w: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _sketched(
+    batches: Iterator[pa.RecordBatch], k: int, w: int, seed: int, length: int, stride: int, least: int, n_run: int
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in _chunks(batch, "seq"):
-            owner, _, key = minimizers_of_all(texts, k, w, seed)
-            order = np.lexsort((key, owner))
-            owner, key = owner[order], key[order]
-            first = np.r_[True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])] if len(key) else np.zeros(0, bool)
-            owner, key = owner[first], key[first]
-            offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-            sketches = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], sketches], names=[*part.schema.names[:-1], "minimizers"])
-
+            codes, offsets = joined_codes(texts)
+            contig, segment, start, end = [], [], [], []
+            for row, text in enumerate(texts):
+                for low, high in n_free_ranges(text or "", n_run):
+                    ranges = fragment_ranges(high - low, length, stride, least)
+                    contig += [row] * len(ranges)
+                    segment += [low] * len(ranges)
+                    start += [low + a for a, _ in ranges]
+                    end += [low + b for _, b in ranges]
+            contig, segment, start, end = (np.array(x, np.int64) for x in (contig, segment, start, end))
+            owner, key = sketches_of_ranges(codes, start + offsets[contig], end + offsets[contig], k, w, seed)
+            used, size = np.unique(owner, return_counts=True)  # fragments without minimizers drop out here
+            sketches = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(key))
+            contig = contig[used]
+            nth = np.arange(len(used)) - np.searchsorted(contig, contig)
+            kept = [c.take(pa.array(contig)) for c in part.columns[:-1]]
+            own = [pa.array(x) for x in (nth, segment[used], start[used], end[used])]
+            names = [*part.schema.names[:-1], "nth", "segment_start", "frag_start", "frag_end", "minimizers"]
+            yield pa.RecordBatch.from_arrays([*kept, *own, sketches], names=names)
+
+
+def fragment_sketches(
+    contigs: DataFrame, keys: list[str], *, k: int, w: int, seed: int, length: int, stride: int, least: int, n_run: int
+) -> DataFrame:
+    """(*keys, nth, segment_start, frag_start, frag_end, minimizers): the fragments of every sequence in `seq` that have
+    minimizers, counted from 0 within the sequence, with their distinct keys, ascending.
 
-def fragment_sketches(fragments: DataFrame, keys: list[str], k: int, w: int, seed: int) -> DataFrame:
-    """(*keys, minimizers): the distinct minimizer keys of every sequence in `seq`, ascending."""
-    rows = fragments.select(*keys, "seq")
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("minimizers", T.ArrayType(T.LongType(), False))])
-    return rows.mapInArrow(lambda batches: _sketched(batches, k, w, seed), schema)
+    Sequences are split at long runs of N and cut to fragments where they are; only sketches leave the task.
+    """
+    rows = contigs.select(*keys, "seq")
+    own = T.StructType.fromDDL("nth long, segment_start long, frag_start long, frag_end long, minimizers array<long>")
+    schema = T.StructType([*rows.schema.fields[:-1], *own.fields])
+    return rows.mapInArrow(lambda batches: _sketched(batches, k, w, seed, length, stride, least, n_run), schema)
 
 
 def seeds(minimizers: str, count: int | None):
@@ -77,21 +98,19 @@ def query_fragments(
     """The fragments of query contigs (query_id, contig_id, seq) with their sketches.
 
     Columns: query_id, fragment_id, contig_id, frag_start, frag_end, length, minimizers, seeds. A fragment without
-    minimizers is dropped before numbering. fragment_id counts from 0 within a query by contig and start; it is
-    found by prefix sums over contigs, so no task numbers a whole genome.
+    minimizers is dropped before numbering. fragment_id counts from 0 within a query by contig and start: its place
+    within the contig plus the counts of the contigs before, a table of one row per contig. The sketches are written
+    once and not shuffled.
     """
-    segments = split_on_n(contigs, ["query_id", "contig_id"], n_run)
-    pieces = fragments_of(segments, ["query_id", "contig_id"], length, stride, least)
-    keys = ["query_id", "contig_id", "segment_start", "frag_start", "frag_end"]
-    sketched = fragment_sketches(pieces, keys, k, w, seed).filter(F.size("minimizers") > 0)
-    within = Window.partitionBy("query_id", "contig_id").orderBy("segment_start", "frag_start")
-    local = sketched.withColumn("_nth", F.row_number().over(within) - 1)
-    counts = local.groupBy("query_id", "contig_id").agg(F.count(F.lit(1)).alias("_n"))
+    keys = ["query_id", "contig_id"]
+    shape = {"k": k, "w": w, "seed": seed, "length": length, "stride": stride, "least": least, "n_run": n_run}
+    sketched = materialize(fragment_sketches(contigs, keys, **shape))
+    counts = sketched.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("query_id").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return local.join(bases, ["query_id", "contig_id"]).select(
+    return sketched.join(broadcast_if_small(bases), keys).select(
         "query_id",
-        (F.col("_base") + F.col("_nth")).alias("fragment_id"),
+        (F.col("_base") + F.col("nth")).alias("fragment_id"),
         "contig_id",
         "frag_start",
         "frag_end",

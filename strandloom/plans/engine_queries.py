@@ -26,7 +26,7 @@ from strandloom.operators.index import (
 from strandloom.operators.reciprocal import query_best, reciprocal_best, reference_best, with_reciprocal_flag
 from strandloom.operators.regions import candidate_bands, candidate_regions, merge_bands, seed_hits
 from strandloom.operators.scoring import blocks_of, window_scores
-from strandloom.operators.segments import fragment_starts, fragments_of, mapped_length, minimizer_estimate, split_on_n, window_count
+from strandloom.operators.segments import fragment_starts, mapped_length, minimizer_estimate, split_on_n, window_count
 from strandloom.operators.sketch import fragment_sketches, query_totals, reference_minimizers
 from strandloom.operators.summary import contig_summary, distribution, pair_summary, run_summary
 from strandloom.params import Parameters
@@ -245,8 +245,8 @@ SELECT query_id, contig_id, frag_start, len(minimizers) AS n_keys, CAST(list_sum
        minimizers[1] AS least_key FROM sk""",
 )
 def fragment_sketch(spark: SparkSession, data_dir: str) -> DataFrame:
-    pieces = fragments_of(split_on_n(contigs(spark, data_dir), ["file_id", "contig_id"], N_RUN), ["file_id", "contig_id"], LENGTH, LENGTH, LENGTH)
-    sketched = fragment_sketches(pieces, ["file_id", "contig_id", "frag_start"], K, W, SEED).filter(F.size("minimizers") > 0)
+    shape = {"k": K, "w": W, "seed": SEED, "length": LENGTH, "stride": LENGTH, "least": LENGTH, "n_run": N_RUN}
+    sketched = fragment_sketches(contigs(spark, data_dir), ["file_id", "contig_id"], **shape)
     return sketched.select(
         F.col("file_id").alias("query_id"),
         "contig_id",

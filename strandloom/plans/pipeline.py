@@ -21,7 +21,7 @@ from strandloom.operators.sketch import query_fragments, query_totals, reference
 from strandloom.operators.summary import contig_summary, pair_summary
 from strandloom.params import ParameterError, Parameters, echo
 from strandloom.plans import report
-from strandloom.session import local_session, materialize
+from strandloom.session import broadcast_if_small, local_session, materialize
 from strandloom.sources import database
 from strandloom.sources.fasta import read_contigs
 
@@ -34,16 +34,20 @@ class Reference:
     files: DataFrame  # file_id, shard, label, mapped_length
 
 
+RECORD = ["file_id", "record_id", "segment"]
+
+
 def reference_segments(contigs: DataFrame, n_run: int) -> DataFrame:
-    """Segments of reference contigs, each a contig of its own: contig_id counts them over all files in order.
+    """(contig_id, file_id, record_id, segment, name, segment_start, segment_end): the segments of reference contigs, each
+    a contig of its own; contig_id counts them over all files in order. Written once.
 
-    Numbers are prefix sums over (file, contig), so no task numbers all segments.
+    Numbers are prefix sums over (file, record); the one over files has a row for each file.
     """
-    split = split_on_n(contigs.withColumnRenamed("contig_id", "record_id"), ["file_id", "record_id", "name"], n_run)
+    split = materialize(split_on_n(contigs.withColumnRenamed("contig_id", "record_id"), ["file_id", "record_id", "name"], n_run, with_seq=False))
     counts = split.groupBy("file_id", "record_id").agg(F.count(F.lit(1)).alias("_n"))
-    per_file = counts.groupBy("file_id").agg(F.sum("_n").alias("_files_n"))
-    upto = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    file_base = per_file.withColumn("_file_base", F.coalesce(F.sum("_files_n").over(upto("file_id")), F.lit(0))).drop("_files_n")
+    before_file = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
+    files = counts.groupBy("file_id").agg(F.sum("_n").alias("_files_n"))
+    file_base = files.withColumn("_file_base", F.coalesce(F.sum("_files_n").over(before_file), F.lit(0))).drop("_files_n")
     before = Window.partitionBy("file_id").orderBy("record_id").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").join(file_base, "file_id")
     numbered = split.join(bases, ["file_id", "record_id"])
@@ -53,10 +57,11 @@ def reference_segments(contigs: DataFrame, n_run: int) -> DataFrame:
 def build_reference(contigs: DataFrame, files: DataFrame, p: Parameters) -> tuple[Reference, list[tuple[int, int, int]]]:
     """The reference side: segments, their minimizers and the shards they go to.
 
-    `files` has file_id and label. One estimate per reference file reaches the driver for the shard plan.
+    `files` has file_id and label. A first pass finds the segments, a second one their minimizers; no sequence is
+    shuffled. One estimate per reference file reaches the driver for the shard plan.
     """
     segments = reference_segments(contigs, p.split_n_run)
-    length = F.length("seq")
+    length = F.col("segment_end") - F.col("segment_start")
     sized = segments.groupBy("file_id").agg(
         F.sum(minimizer_estimate(length, p.kmer_size, p.window_size)).alias("estimate"),
         F.sum(mapped_length(length, p.fragment_length, p.least)).alias("mapped_length"),
@@ -65,9 +70,11 @@ def build_reference(contigs: DataFrame, files: DataFrame, p: Parameters) -> tupl
     estimates = [r.estimate for r in known.select("file_id", "estimate").orderBy("file_id").collect()]
     shards = plan_shards(estimates, p.max_shard_minimizers)
     shard = shard_of(F.col("file_id"), shards).alias("shard")
-    positioned = reference_minimizers(segments, ["file_id", "contig_id"], p.kmer_size, p.window_size, p.hash_seed)
+    split = split_on_n(contigs.withColumnRenamed("contig_id", "record_id"), ["file_id", "record_id"], p.split_n_run)
+    positioned = reference_minimizers(split, RECORD, p.kmer_size, p.window_size, p.hash_seed)
+    numbers = broadcast_if_small(segments.select(*RECORD, "contig_id"))
+    index = positioned.join(numbers, RECORD).select(shard, "file_id", "contig_id", "key", "pos")
     dims = segments.select("contig_id", "file_id", shard, "name", "segment_start", "segment_end")
-    index = positioned.select(shard, "*")
     return Reference(index, blocks_of(index, p.fragment_length), dims, known.select("file_id", shard, "label", "mapped_length")), shards
 
 
@@ -148,8 +155,8 @@ class Comparison:
 
 
 def compare(query_contigs: DataFrame, reference: Reference, p: Parameters) -> Comparison:
-    """Everything about all queries and references; fragments and mappings are written once, as several results use them."""
-    fragments = materialize(fragments_of_queries(query_contigs, p))
+    """Everything about all queries and references; sketches and mappings are written once, as several results use them."""
+    fragments = fragments_of_queries(query_contigs, p)
     watch = Observation("candidate regions")
     mappings = materialize(map_fragments(fragments, reference, p, watch))
     best = reciprocal_best(mappings, p.fragment_length)

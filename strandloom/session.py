@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -56,6 +57,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a dimension table of a few numbers up to which it is broadcast: some 20 MB.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, written once and counted; marked for broadcast if it has no more rows than that, else left to a
+    shuffle join. For narrow tables."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def slices_of(spark: SparkSession) -> int:
     """Number of slices for exact numbering: as many as the session shuffles into, so they grow with the cluster's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

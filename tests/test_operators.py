@@ -7,11 +7,11 @@ import pytest
 from genomes import plain_fragments, plain_minimizers, plain_score, random_dna
 from pyspark.sql import functions as F
 
-from strandloom.functions import mash
+from strandloom.functions import dna, mash
 from strandloom.functions.dna import minimizers_of_all
 from strandloom.operators.index import frequency_threshold, partition_count, partition_of, plan_shards, shard_of
 from strandloom.operators.scoring import best_window, best_windows
-from strandloom.operators.segments import fragment_starts, mapped_length, n_free_ranges, window_count
+from strandloom.operators.segments import fragment_ranges, fragment_starts, mapped_length, n_free_ranges, window_count
 from strandloom.operators.summary import distribution, hidden_support
 from strandloom.params import ParameterError, parse, parse_shards
 from strandloom.sources.database import checksum
@@ -30,6 +30,20 @@ def test_minimizers_match_the_plain_form(k, w):
         assert got == plain_minimizers(seq or "", k, w, 42)
 
 
+@pytest.mark.parametrize("part", [1, 7, 50])
+def test_long_sequences_in_parts(monkeypatch, part):
+    monkeypatch.setattr(dna, "PART", part)
+    rng = random.Random(part)
+    for k, w in ((3, 4), (5, 1), (8, 6)):
+        seq = "".join(rng.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=400)) + "ACGT" * 10
+        pos, key = dna.minimizers(dna.base_codes(seq), k, w, 42)
+        assert list(zip(pos.tolist(), key.tolist())) == plain_minimizers(seq, k, w, 42)
+        ranges = plain_fragments(len(seq), 60, rng.choice([60, 25]), 20)
+        owner, key = dna.sketches_of_ranges(dna.base_codes(seq), *(np.array(x) for x in zip(*ranges)), k, w, 42)
+        for n, (a, b) in enumerate(ranges):
+            assert key[owner == n].tolist() == sorted({x for _, x in plain_minimizers(seq[a:b], k, w, 42)})
+
+
 def test_no_minimizer_covers_an_n():
     seq = random_dna(29, 1) + "N" * 10 + random_dna(29, 2)
     _, pos, _ = minimizers_of_all([seq], 10, 16, 42)
@@ -42,7 +56,7 @@ def test_no_minimizer_covers_an_n():
 )
 def test_fragment_ranges(spark, n, length, stride, least):
     row = spark.range(1).select(fragment_starts(F.lit(n), length, stride, least).alias("f")).first()
-    assert [tuple(f) for f in row.f] == plain_fragments(n, length, stride, least)
+    assert [tuple(f) for f in row.f] == fragment_ranges(n, length, stride, least) == plain_fragments(n, length, stride, least)
 
 
 def test_lengths_and_windows(spark):
