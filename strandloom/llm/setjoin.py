@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from strandloom.session import materialize
 
-#: A token is frequent from this share of all occurrences on; so there are at most so many, 12 bytes each.
-FREQUENT_TOKENS = 100_000
+#: A token is frequent from this share of all occurrences on; so there are at most so many, 16 bytes each.
+FREQUENT_TOKENS = 16_384
+#: Buckets that occurrences are first counted by: four for every token that can be frequent.
+BUCKET_BITS = 16
 #: From so many occurrences on a token is indexed with a second one.
 HOT_TOKEN_ROWS = 500
 
@@ -34,15 +36,6 @@ def token_set(tokens: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull())))
 
 
-def frequent_tokens(sets: DataFrame, limit: int = FREQUENT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens with more than 1 / limit of all occurrences, and their exact counts; `limit` tokens at most."""
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    total = sets.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
-    least = max(2, total // limit + 1)
-    found = counts.filter(F.col("n") >= least).toArrow().sort_by("token")
-    return found["token"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit values that looks random."""
     x = x.astype(np.uint64)
@@ -51,6 +44,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _tokens_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("tokens").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _buckets_of(tokens: np.ndarray) -> np.ndarray:
+    return (_mixed(tokens) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(2**BUCKET_BITS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_buckets_of(_tokens_of(batch)), minlength=len(counts))
+    there = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["bucket", "n"])
+
+
+def _counts_within(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = _tokens_of(batch)
+        found, counts = np.unique(tokens[wanted[_buckets_of(tokens)]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], names=["token", "n"])
+
+
+def frequent_tokens(sets: DataFrame, limit: int = FREQUENT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with more than 1 / limit of all occurrences, and their exact counts; `limit` tokens at most.
+
+    All occurrences are first counted by hash buckets, of which there is a fixed number. A frequent token makes its
+    bucket a frequent one, and few buckets are: only the tokens in those are counted one by one.
+    """
+    by_bucket = sets.mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = by_bucket["n"].to_numpy().astype(np.int64)
+    least = max(2, int(counts.sum()) // limit + 1)
+    wanted = np.zeros(2**BUCKET_BITS, bool)
+    wanted[by_bucket["bucket"].to_numpy()[counts >= least]] = True
+    shared = sets.sparkSession.sparkContext.broadcast(wanted)
+    exact = sets.mapInArrow(lambda batches: _counts_within(batches, shared.value), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = exact.filter(F.col("n") >= least).toArrow().sort_by("token")
+    return found["token"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
+
+
 #: How a posting was made: from one token, from two, or from one that is hot by a set that is tiny.
 ALONE, TOGETHER, TINY = 1, 2, 3
 
