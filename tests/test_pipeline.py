@@ -95,6 +95,24 @@ def test_shards_and_database_do_not_change_results(spark, folder, tmp_path):
         outcome(spark, replace(stored, queries=()))
 
 
+def test_building_alone_and_overwriting(spark, folder, tmp_path):
+    at, _ = folder
+    built = replace(settings(at, "", "ab"), reference_sketch=str(tmp_path / "db"), bgzip=True)
+    assert outcome(spark, built) == []
+    assert {r[1] for r in outcome(spark, replace(settings(at, "a", ""), reference_sketch=built.reference_sketch))} == {"a", "b"}
+    with pytest.raises(ValueError, match="--force"):
+        outcome(spark, built)
+    assert outcome(spark, replace(settings(at, "", "c"), reference_sketch=built.reference_sketch, force=True)) == []
+    assert {r[1] for r in outcome(spark, replace(settings(at, "a", ""), reference_sketch=built.reference_sketch))} == {"c"}
+    with pytest.raises(ValueError, match="no reference"):
+        outcome(spark, replace(settings(at, "a", ""), reference_sketch=str(tmp_path / "none")))
+
+
+def test_more_minmers_than_there_are_change_nothing(spark, folder):
+    at, _ = folder
+    assert outcome(spark, settings(at, "a", "b", minmer_count=10_000)) == outcome(spark, settings(at, "a", "b"))
+
+
 def test_a_stored_index_is_not_shuffled(spark, folder, tmp_path, monkeypatch):
     at, _ = folder
     monkeypatch.setattr("strandloom.sources.database.BUCKET_MINIMIZERS", 300)
