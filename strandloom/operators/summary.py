@@ -58,6 +58,16 @@ def pair_summary(best: DataFrame, queries: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _every_file(files: DataFrame) -> Column:
+    """All file ids as an array; files that are numbered through, as those of a run are, need not be listed."""
+    known = files.agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"), F.countDistinct("file_id").alias("n")).first()
+    if not known.n:
+        return F.array().cast("array<int>")
+    if known.high - known.low + 1 == known.n:
+        return F.sequence(F.lit(known.low), F.lit(known.high))
+    return F.array(*[F.lit(r.file_id) for r in files.select("file_id").distinct().orderBy("file_id").collect()])
+
+
 def contig_summary(best: DataFrame, fragments: DataFrame, files: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
     """One row for every reference file and query contig, those without a mapping included (NaN).
 
@@ -70,8 +80,7 @@ def contig_summary(best: DataFrame, fragments: DataFrame, files: DataFrame, cont
     )
     if contigs is not None:
         eligible = contigs.join(eligible, ["query_id", "query_contig"], "left").fillna(0, ["eligible_fragments", "mapped_length"])
-    numbers = sorted(r.file_id for r in files.select("file_id").distinct().collect())
-    every = eligible.withColumn("file_id", F.explode(F.array(*[F.lit(f) for f in numbers])))
+    every = eligible.withColumn("file_id", F.explode(_every_file(files)))
     groups = ["query_id", "file_id", "query_contig"]
     summed = every.join(distribution(best, groups), groups, "left")
     named = [] if contigs is None else [c for c in contigs.columns if c not in groups]
