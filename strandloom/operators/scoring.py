@@ -13,6 +13,7 @@ from strandloom.functions.mash import mash_distance, upper_identity_column
 
 #: Cells of the window-by-key table that is held at a time for a large region; windows that are scored side by side else.
 CELLS, SIDE_BY_SIDE = 1_000_000, 30_000
+HALF = 2**31
 #: Regions with more minimizers than this are scored one by one, the others many at a time.
 LARGE = 4096
 
@@ -149,7 +150,7 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], k: int, w: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         start, end, length = (_numbers(batch.column(c)) for c in ("region_start", "region_end", "length"))
         regions = np.arange(batch.num_rows)
@@ -159,8 +160,10 @@ def _scored(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.Re
         parts = blocks.flatten()
         of_part = np.repeat(regions, _numbers(blocks.value_lengths()))
         places, keys = parts.field("at"), parts.field("keys")
-        member = np.repeat(of_part, _numbers(places.value_lengths()))
-        places, keys = _numbers(places.flatten()), _numbers(keys.flatten())
+        lengths = _numbers(places.value_lengths())
+        member = np.repeat(of_part, lengths)
+        places = _numbers(places.flatten()) + np.repeat(_numbers(parts.field("block")) << bits, lengths)
+        keys = _numbers(keys.flatten()) + HALF
         reach = (places >= start[member]) & (places < end[member] + length[member])
         member, places, keys = member[reach], places[reach], keys[reach]
         order = np.lexsort((places, member))
@@ -181,10 +184,17 @@ def block_bits(fragment_length: int) -> int:
 
 
 def blocks_of(index: DataFrame, fragment_length: int) -> DataFrame:
-    """(shard, contig_id, block, at, keys): the index as one row for every 2**block_bits letters of a contig."""
-    block = F.shiftright("pos", block_bits(fragment_length)).alias("block")
-    pairs = index.groupBy("shard", "contig_id", block).agg(F.collect_list(F.struct("pos", "key")).alias("m"))
-    return pairs.select("shard", "contig_id", "block", F.col("m.pos").alias("at"), F.col("m.key").alias("keys"))
+    """(shard, contig_id, block, at, keys): the index as one row for every 2**block_bits letters of a contig.
+
+    To take 32 bits each, `at` counts from the block's start and `keys` are less by half their range.
+    """
+    bits = block_bits(fragment_length)
+    block = F.shiftright("pos", bits)
+    at = (F.col("pos") - F.shiftleft(block, bits)).cast("int").alias("at")
+    key = (F.col("key") - F.lit(HALF)).cast("int").alias("key")
+    pairs = index.select("shard", "contig_id", block.alias("block"), F.struct(at, key).alias("m"))
+    grouped = pairs.groupBy("shard", "contig_id", "block").agg(F.collect_list("m").alias("m"))
+    return grouped.select("shard", "contig_id", "block", F.col("m.at").alias("at"), F.col("m.key").alias("keys"))
 
 
 def window_scores(regions: DataFrame, fragments: DataFrame, blocks: DataFrame, k: int, w: int, fragment_length: int) -> DataFrame:
@@ -202,7 +212,7 @@ def window_scores(regions: DataFrame, fragments: DataFrame, blocks: DataFrame, k
     gathered = (
         touched.join(blocks.drop("shard"), ["contig_id", "block"])
         .groupBy(*keys)
-        .agg(F.collect_list(F.struct("at", "keys")).alias("blocks"))
+        .agg(F.collect_list(F.struct("block", "at", "keys")).alias("blocks"))
     )
     whole = gathered.join(fragments.select("query_id", "fragment_id", "minimizers"), ["query_id", "fragment_id"])
     regions_schema = "query_id int, fragment_id long, file_id int, contig_id long, region_start long, region_end long, length long"
@@ -216,7 +226,7 @@ def window_scores(regions: DataFrame, fragments: DataFrame, blocks: DataFrame, k
         "minimizers",
         "blocks",
     )
-    return rows.mapInArrow(lambda batches: _scored(batches, k, w), f"{regions_schema}, {numbers}")
+    return rows.mapInArrow(lambda batches: _scored(batches, k, w, bits), f"{regions_schema}, {numbers}")
 
 
 def mappings_of(scores: DataFrame, k: int, threshold: float, confidence: float) -> DataFrame:
