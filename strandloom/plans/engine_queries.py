@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions.mash import mash_distance, minimum_shared_column, upper_identity_column
+from strandloom.functions.mash import distance_to_jaccard, mash_distance, minimum_shared_column, upper_identity_column
 from strandloom.operators.index import (
     frequency_threshold,
     hit_histogram,
@@ -33,9 +33,13 @@ from strandloom.params import Parameters
 from strandloom.plans.pipeline import compare, fragments_of_queries, Reference
 from strandloom.session import materialize, table
 
-K, W, SEED, LENGTH, N_RUN = 14, 10, 42, 300, 10
+K, W, SEED, LENGTH, N_RUN = 16, 10, 42, 300, 10
 MUTATIONS = (("GAT", "GAC"), ("CCA", "CTA"))
-SETTINGS = Parameters(kmer_size=K, window_size=W, hash_seed=SEED, fragment_length=LENGTH, mash_threshold=0.0, split_n_run=N_RUN)
+#: Without a confidence interval the threshold is the identity itself, which SQL can compute.
+SETTINGS = Parameters(
+    kmer_size=K, window_size=W, hash_seed=SEED, fragment_length=LENGTH, mash_threshold=90.0, mash_confidence=0.0, split_n_run=N_RUN
+)
+JACCARD = distance_to_jaccard(1 - SETTINGS.mash_threshold / 100, K)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -390,7 +394,7 @@ hits AS (SELECT query_id, fragment_id, file_id, rm.contig_id, pos FROM seeds JOI
 _BANDS = """{hits},
 nh AS (SELECT *, row_number() OVER (PARTITION BY query_id, fragment_id, file_id, contig_id ORDER BY pos) AS r FROM hits),
 bands AS (SELECT a.query_id, a.fragment_id, a.file_id, a.contig_id, greatest(0, b.pos - {length} + 1) AS band_start, a.pos AS band_end
-          FROM nh a JOIN nh b ON a.query_id = b.query_id AND a.fragment_id = b.fragment_id AND a.file_id = b.file_id
+          FROM nh a {sized} JOIN nh b ON a.query_id = b.query_id AND a.fragment_id = b.fragment_id AND a.file_id = b.file_id
                AND a.contig_id = b.contig_id AND b.r = a.r + {m} - 1
           WHERE b.pos - a.pos < {length}),
 bm AS (SELECT *, max(band_end) OVER (PARTITION BY query_id, fragment_id, file_id, contig_id ORDER BY band_start, band_end
@@ -399,7 +403,11 @@ bi AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < band_start THEN 1 ELSE 0
                  OVER (PARTITION BY query_id, fragment_id, file_id, contig_id ORDER BY band_start, band_end ROWS UNBOUNDED PRECEDING) AS island FROM bm),
 regions_ AS (SELECT query_id, fragment_id, file_id, contig_id, min(band_start) AS region_start, max(band_end) AS region_end
              FROM bi GROUP BY query_id, fragment_id, file_id, contig_id, island)"""
-_BANDS_3, _BANDS_1 = (_BANDS.format(hits=_HITS, length=LENGTH, m=m) for m in (3, 1))
+_BANDS_3, _BANDS_1 = (_BANDS.format(hits=_HITS, length=LENGTH, m=m, sized="") for m in (3, 1))
+_SIZES = f"ms_ AS (SELECT query_id, fragment_id, CAST(greatest(1, ceil(len(minimizers) * {JACCARD})) AS BIGINT) AS m FROM qf)"
+_BANDS_BY_SIZE = _BANDS.format(
+    hits=f"{_HITS}, {_SIZES}", length=LENGTH, m="ms_.m", sized="JOIN ms_ ON ms_.query_id = a.query_id AND ms_.fragment_id = a.fragment_id"
+)
 
 
 @query("seed_hits", f"WITH {_HITS} SELECT * FROM hits")
@@ -447,7 +455,7 @@ def region_merge(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 _WIDTH = LENGTH - (W - 1) - (K - 1)
-_SCORES = f"""{_BANDS_1},
+_SCORES = f"""
 wm AS (SELECT r.query_id, r.fragment_id, r.file_id, r.contig_id, region_start, region_end, m.pos, m.key
        FROM regions_ r JOIN rm m ON m.file_id = r.file_id AND m.contig_id = r.contig_id
             AND m.pos >= region_start AND m.pos < region_end + {LENGTH}),
@@ -471,10 +479,10 @@ scores AS (
   FROM ub WHERE shared = top AND shared > 0 GROUP BY query_id, fragment_id, file_id, contig_id, region_start, region_end)"""
 
 
-@query("window_scores", f"WITH {_SCORES} SELECT * FROM scores")
+@query("window_scores", f"WITH {_BANDS_3}, {_SCORES} SELECT * FROM scores")
 def scores_of_windows(spark: SparkSession, data_dir: str) -> DataFrame:
     index = materialize(sequence_index(spark, data_dir))
-    found = materialize(sequence_fragments(spark, data_dir)).withColumn("min_shared", F.lit(1))
+    found = materialize(sequence_fragments(spark, data_dir)).withColumn("min_shared", F.lit(3))
     regions = candidate_regions(seed_hits(found, index), found)
     return window_scores(regions, found, blocks_of(index, LENGTH), K, W, LENGTH).drop("length")
 
@@ -656,20 +664,21 @@ def mapping_stats(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
-def compared(spark: SparkSession, data_dir: str):
-    """Every query genome against every diverged one."""
+def compared(spark: SparkSession, data_dir: str, settings: Parameters) -> DataFrame:
+    """The pairs of every query genome and every diverged one."""
     known = contigs(spark, data_dir)
     index = materialize(sequence_index(spark, data_dir))
     files = known.select("file_id").distinct().withColumn("shard", F.lit(1))
-    return compare(known, Reference(index, blocks_of(index, LENGTH), known, files), SETTINGS)
+    pairs = compare(known, Reference(index, blocks_of(index, LENGTH), known, files), settings).pairs
+    return pairs.select("query_id", "file_id", *_no_nan("ani", "af", "total_fragments", *_ROUNDED), "shared_fragments")
 
 
-@query(
-    "genome_ani",
-    f"""WITH {_SCORES},
-ms AS (SELECT query_id, file_id, contig_id, fragment_id, {LENGTH} AS fragment_length, (first_start + last_start) // 2 AS reference_start,
+def _genome_sql(bands: str, threshold: float) -> str:
+    return f"""WITH {bands}, {_SCORES},
+every AS (SELECT query_id, file_id, contig_id, fragment_id, {LENGTH} AS fragment_length, (first_start + last_start) // 2 AS reference_start,
               100 * (1 - CASE WHEN shared = sketch THEN 0 ELSE -ln(2 * (shared / sketch) / (1 + shared / sketch)) / {K} END) AS identity
        FROM scores),
+ms AS (SELECT * FROM every WHERE identity >= {threshold}),
 qb AS (SELECT * FROM ms QUALIFY row_number() OVER (PARTITION BY query_id, file_id, fragment_id
          ORDER BY round(identity, 9) DESC, contig_id DESC, reference_start DESC) = 1),
 rb AS (SELECT * FROM qb QUALIFY row_number() OVER (PARTITION BY query_id, contig_id, reference_start // {LENGTH - 20}
@@ -677,8 +686,15 @@ rb AS (SELECT * FROM qb QUALIFY row_number() OVER (PARTITION BY query_id, contig
 {_distribution_sql('query_id, file_id')},
 ql AS (SELECT query_id, count(*) * {LENGTH} AS mapped_length FROM qf GROUP BY query_id)
 SELECT query_id, file_id, round(weighted / bases, 6) AS ani, round(bases / mapped_length, 6) AS af,
-       round(mapped_length / {LENGTH}.0, 6) AS total_fragments, {_DI}, n AS shared_fragments FROM di JOIN ql USING (query_id)""",
-)
+       round(mapped_length / {LENGTH}.0, 6) AS total_fragments, {_DI}, n AS shared_fragments FROM di JOIN ql USING (query_id)"""
+
+
+@query("genome_ani", _genome_sql(_BANDS_BY_SIZE, SETTINGS.mash_threshold))
 def genome_ani(spark: SparkSession, data_dir: str) -> DataFrame:
-    pairs = compared(spark, data_dir).pairs
-    return pairs.select("query_id", "file_id", *_no_nan("ani", "af", "total_fragments", *_ROUNDED), "shared_fragments")
+    return compared(spark, data_dir, SETTINGS)
+
+
+@query("genome_ani_unfiltered", _genome_sql(_BANDS_1, 0.0))
+def genome_ani_unfiltered(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Without a threshold every chance hit is a mapping, so that in the end all pairs of genomes have a row."""
+    return compared(spark, data_dir, replace(SETTINGS, mash_threshold=0.0))
