@@ -479,10 +479,10 @@ scores AS (
   FROM ub WHERE shared = top AND shared > 0 GROUP BY query_id, fragment_id, file_id, contig_id, region_start, region_end)"""
 
 
-@query("window_scores", f"WITH {_BANDS_3}, {_SCORES} SELECT * FROM scores")
+@query("window_scores", f"WITH {_BANDS_1}, {_SCORES} SELECT * FROM scores")
 def scores_of_windows(spark: SparkSession, data_dir: str) -> DataFrame:
     index = materialize(sequence_index(spark, data_dir))
-    found = materialize(sequence_fragments(spark, data_dir)).withColumn("min_shared", F.lit(3))
+    found = materialize(sequence_fragments(spark, data_dir)).withColumn("min_shared", F.lit(1))
     regions = candidate_regions(seed_hits(found, index), found)
     return window_scores(regions, found, blocks_of(index, LENGTH), K, W, LENGTH).drop("length")
 
