@@ -19,8 +19,9 @@ from strandloom.sources.fasta import contigs_of_files
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def contig_stream(spark: SparkSession, folder: str, pattern: str = "*.fa*") -> DataFrame:
-    """(file_id, contig_id, name, seq): the contigs of the files in a folder, those to come included."""
+def contig_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(file_id, contig_id, name, seq): the contigs of the files in a folder, those to come included; one that is
+    no FASTA file is an error."""
     share_code(spark)
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(folder)
     packed = F.lower("path").rlike(r"\.(gz|bgz)$")

@@ -1,3 +1,5 @@
+import gzip
+
 from genomes import fasta, plain_minimizers, random_dna
 
 from strandloom.streaming.incremental import append_minimizers, contig_stream, minimizer_stream
@@ -22,3 +24,16 @@ def test_files_are_added_once(spark, tmp_path):
     assert {(r.segment_start, r.pos, r.key) for r in rows} == expected and len(rows) == len(expected)
     assert len({r.file_id for r in rows}) == 2
     assert run().count() == len(rows)
+
+
+def test_all_endings_are_taken(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names = ["a.fna", "b.ffn", "c.fsa", "d.fa", "e.fna.gz"]
+    for n, name in enumerate(names):
+        data = fasta({name: random_dna(200, n)}).encode()
+        (folder / name).write_bytes(gzip.compress(data) if name.endswith(".gz") else data)
+    query = contig_stream(spark, str(folder)).select("name").writeStream.format("parquet")
+    query = query.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert sorted(r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()) == names
