@@ -87,12 +87,14 @@ def _again(marks: np.ndarray) -> np.ndarray:
 Hashed = tuple[np.ndarray, np.ndarray, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
-def hash_parts(texts: list[str]) -> Hashed:
+def hash_parts(texts: list[str], carried: dict[str, tuple[int, int]] | None = None, ahead: str = "") -> Hashed:
     """The words of the texts (hash, text number), and their lines, paragraphs and sentences (hash, text number, size).
 
-    A hash is of the characters alone, in lower case, wherever they stand.
+    A hash is of the characters alone, in lower case, wherever they stand. For a text that comes in parts, `texts` is
+    the next part and `ahead` the character after it, none for the last one; `carried` holds the sum and the size of
+    the line, paragraph and sentence that the parts so far have not ended, and is brought up to date.
     """
-    joined = "\n\n".join(texts) + "\n\n"
+    joined = "\n\n".join(texts) + ("" if ahead else "\n\n")
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     letter_of, mixed_of = _codepoint_tables()
     letters = letter_of[codes]
@@ -103,11 +105,11 @@ def hash_parts(texts: list[str]) -> Hashed:
         if before[at] and not after[at]:
             values[at] = mixed_of[_FINAL_SIGMA]
     doc_ends = np.cumsum(np.array([len(t) + 2 for t in texts], np.int64))
-    up, down = _powers(len(codes))
-    sums = np.r_[np.uint64(0), np.cumsum(values * up)]
+    up, down = _powers(len(codes) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(values * up[:-1])]
 
-    def hashes(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    def sums_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (sums[end] - sums[start]) * down[start]
 
     def docs_of(start: np.ndarray) -> np.ndarray:
         return np.searchsorted(doc_ends, start, side="right")
@@ -115,15 +117,23 @@ def hash_parts(texts: list[str]) -> Hashed:
     start, end = np.flatnonzero(letters & ~before), np.flatnonzero(letters & ~after) + 1
     segments = {}
     newline = codes == 10
-    blank = newline & np.r_[newline[1:], True]
-    stop = np.isin(codes, (46, 33, 63)) & np.r_[np.isin(codes[1:], (32, 10)), True]
+    following = np.r_[codes[1:], np.uint32(ord(ahead or "\n"))]
+    blank = newline & (following == 10)
+    stop = np.isin(codes, (46, 33, 63)) & np.isin(following, (32, 10))
     for rule, ends in (("lines", newline), ("paragraphs", blank), ("sentences", stop | blank)):
         cut = np.flatnonzero(ends)
-        begin = np.r_[0, cut[:-1] + 1]
-        keep = cut - begin >= LEAST_SEGMENT
-        begin, cut = begin[keep], cut[keep]
-        segments[rule] = hashes(begin, cut), docs_of(begin), (cut - begin).astype(float)
-    return hashes(start, end), docs_of(start), segments
+        begin = np.r_[0, cut + 1]
+        stretch_ends = np.r_[cut, len(codes)]
+        total, size = sums_of(begin, stretch_ends), stretch_ends - begin  # the last one has no end yet
+        if carried is not None:
+            held, length = carried.get(rule, (0, 0))
+            total[:1] = total[:1] * np.uint64(pow(_BASE, length, 2**64)) + np.uint64(held)
+            size[0] += length
+            carried[rule] = int(total[-1]), int(size[-1])
+        begin, total, size = begin[:-1], total[:-1], size[:-1]
+        keep = size >= LEAST_SEGMENT
+        segments[rule] = _mix(total + size.astype(np.uint64))[keep], docs_of(begin[keep]), size[keep].astype(float)
+    return _mix(sums_of(start, end) + (end - start).astype(np.uint64)), docs_of(start), segments
 
 
 def judge(hashed: Hashed, n_docs: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -190,7 +200,11 @@ def measure(texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     characters from being held all at once, and judged as a whole; it must be the only one."""
     if len(texts) > 1 or len(texts[0]) <= AT_A_TIME:
         return judge(hash_parts(texts), len(texts))
-    parts = [hash_parts([part]) for part in cut_long(texts[0], AT_A_TIME)]
+    parts, carried, at = [], {}, 0
+    for part in cut_long(texts[0], AT_A_TIME):
+        if part:  # the last one may be empty
+            at += len(part)
+            parts.append(hash_parts([part], carried, texts[0][at : at + 1]))
     segments = {rule: tuple(np.concatenate(x) for x in zip(*(p[2][rule] for p in parts), strict=True)) for rule in parts[0][2]}
     return judge((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), segments), 1)
 

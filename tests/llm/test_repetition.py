@@ -101,3 +101,16 @@ def test_very_long_text(spark):
     text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300_000))
     got = repetition(spark.createDataFrame([(1, text + " " + text)], "doc_id long, text string"), "doc_id", "text").first()
     assert (got.words, got.repeated_words) == (600_000, 300_000)
+
+
+@pytest.mark.parametrize("most", [3, 17, 60])
+def test_all_rules_in_parts(monkeypatch, most):
+    same = "no line ends here, and none begins either " * 20
+    texts = [*made_up(9, 80), same, same + "\n" + same, (same + ". ") * 6, (same + "\n\n") * 5, "Tell me. Why?\n\n\nTell me. Why? Tell me.", "x\n" * 40]
+    whole = [measure([t]) for t in texts]
+    monkeypatch.setattr(r, "AT_A_TIME", most)
+    for text, expected in zip(texts, whole):
+        got = measure([text])
+        assert {rule: (got[rule][0][0], got[rule][1][0]) for rule in r.RULES} == {
+            rule: (expected[rule][0][0], expected[rule][1][0]) for rule in r.RULES
+        }
