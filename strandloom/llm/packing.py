@@ -33,6 +33,8 @@ DEPTH = 3
 #: Histograms are held by the driver: so many lengths at most.
 LARGEST_CAPACITY = 1_000_000
 _ORDINAL_BITS = 40
+#: Targets whose number fits in a 63-bit key before a length and an ordinal.
+TARGETS_AT_A_TIME = 8
 
 
 @dataclass
@@ -237,7 +239,7 @@ def _place(batches: Iterator[pa.RecordBatch], lookup: np.ndarray) -> Iterator[pa
 def pack(sizes: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     """(target_id, container_id, place, item, start, length): where the parts of every item lie, for every capacity.
 
-    `sizes` has item (a unique long) and size; `capacities` are pairs (target_id, capacity), a few. `place` is the
+    `sizes` has item (a unique long) and size; `capacities` are pairs (target_id, capacity), planned in groups of eight. `place` is the
     position within the container, `start` the position within the item. Only an item larger than the capacity is
     split, into parts of the capacity and a rest. An item whose id or size is null, or whose size is below 1, takes
     no place and has no row. Items that repeat must be made unique before. An empty table gives no rows.
@@ -248,6 +250,9 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     schema = "target_id int, container_id long, place long, item long, start long, length long"
     if not capacities:
         return spark.createDataFrame([], schema)
+    if len(capacities) > TARGETS_AT_A_TIME:
+        head, rest = capacities[:TARGETS_AT_A_TIME], capacities[TARGETS_AT_A_TIME:]
+        return pack(sizes, head).unionByName(pack(sizes, rest))
     targets = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(t).cast("int").alias("target_id"), F.lit(c).cast("long").alias("capacity")) for i, (t, c) in enumerate(capacities)])
     sized = sizes.filter("item IS NOT NULL AND size > 0").select("item", F.col("size").cast("long").alias("size"))
     each = sized.select("item", "size", F.explode(targets).alias("t")).select("item", "size", "t.*")

@@ -103,3 +103,12 @@ def test_documents(spark):
     assert fill[1] > 0.98
     assert pack_documents(documents.limit(0), targets).collect() == []
     assert pack_documents(documents, targets.limit(0)).collect() == []
+
+
+def test_many_targets(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 7), (3, 12)], "item long, size long")
+    rows = pack(sizes, [(n, 10 + n) for n in range(11)]).collect()
+    held = defaultdict(int)
+    for r in rows:
+        held[r.target_id] += r.length
+    assert held == {n: 24 for n in range(11)}
