@@ -82,7 +82,7 @@ def p8_shares(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def p8_posterior(spark: SparkSession, data_dir: str) -> DataFrame:
     measured = repetition(table(spark, data_dir, "documents"), "doc_id", "text")
-    return measured.select("doc_id", "repeated_share", "posterior")
+    return measured.select("doc_id", "repeated_share", "posterior", "possible")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,11 +1,16 @@
 """Repetition inside a single document, by weak supervision.
 
-Each rule looks at one kind of repetition (runs of words, lines, paragraphs, sentences, variety of word triples) and
-votes `repeated` or `clean`, or abstains. Expectation-maximisation over the counts of vote patterns in all
-documents estimates each rule's accuracy; a document's posterior probability of being repetitive follows from its
-pattern. Patterns are few (three to the number of rules), so that is all the driver sees of the corpus.
-
-The share of repeated words is measured exactly: it is what the first rule votes on.
+Each rule looks at one kind of repetition (words, word triples, lines, paragraphs, sentences) and votes `repeated` or
+`clean`, or abstains. Expectation-maximisation over the counts of vote patterns in all documents estimates each
+rule's accuracy; a document's posterior probability of being repetitive follows from its pattern. Patterns are few
+(three to the number of rules), so that is all the driver sees of the corpus.
+
+No rule sees the share of repeated words itself, which is the exact check behind the posterior. What ties the two is
+that a vote for `clean` is a proof: of the words that lie in repeated runs of 8, at least (9 - g) / 8 begin a
+repeated run of g words, so a text with fewer of those cannot have the share. Rules that can prove nothing only vote
+`repeated` or abstain. As a rule is held to be right more often than not, a text with that share is never less likely
+to be repetitive than one that nothing is known of: its posterior is the prior at least, and the texts below the
+prior need no check.
 """
 
 from __future__ import annotations
@@ -23,14 +28,13 @@ from pyspark.sql import types as T
 from strandloom.session import materialize
 
 RUN_WORDS = 8
-#: Rule -> (least evidence, clean below, repeated from); shares of repeated words, characters or triples.
-RULES = {
-    "runs": (RUN_WORDS, 0.1, 0.3),
-    "lines": (5, 0.1, 0.3),
-    "paragraphs": (3, 0.1, 0.3),
-    "sentences": (3, 0.1, 0.3),
-    "variety": (50, 0.1, 0.3),
-}
+#: Share of repeated words from which a text is repetitive, unless another one is asked for.
+SHARE = 0.3
+#: Rules on runs of so many words -> repeated from; they vote `clean` below what the share asked for implies.
+GRAM_RULES = {"words": (1, 0.9), "triples": (3, 0.4)}
+#: Rules on segments -> (least segments, repeated from), in shares of characters; they prove nothing clean.
+SEGMENT_RULES = {"lines": (5, 0.25), "paragraphs": (3, 0.25), "sentences": (3, 0.25)}
+RULES = (*GRAM_RULES, *SEGMENT_RULES)
 CLEAN, REPEATED, ABSTAIN = 0, 1, 2
 #: Letters of text that are measured at a time; a longer text is measured alone.
 AT_A_TIME = 1_000_000
@@ -137,7 +141,7 @@ def hash_parts(texts: list[str], carried: dict[str, tuple[int, int]] | None = No
 
 
 def judge(hashed: Hashed, n_docs: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each rule, the repeated amount and the whole of every text; of `runs` these are words, exactly."""
+    """For each rule, and for `runs`, the repeated amount and the whole of every text; of `runs` these are words, exactly."""
     words, doc, segments = hashed
     n_words = np.bincount(doc, minlength=n_docs)
 
@@ -162,14 +166,15 @@ def judge(hashed: Hashed, n_docs: int) -> dict[str, tuple[np.ndarray, np.ndarray
     change -= np.r_[np.zeros(RUN_WORDS, np.int64), change[:-RUN_WORDS]]
     covered = np.cumsum(change)[: len(words)] > 0
     found["runs"] = np.bincount(doc[covered], minlength=n_docs), n_words
+    for rule, (size, _) in GRAM_RULES.items():
+        at, marks = grams(size)
+        found[rule] = np.bincount(doc[at[_again(marks)]], minlength=n_docs), np.bincount(doc[at], minlength=n_docs)
     for rule, (marks, d, size) in segments.items():
         dup = _again(salted(marks, d))
         total = np.bincount(d, size, minlength=n_docs)
         share = np.divide(np.bincount(d[dup], size[dup], minlength=n_docs), total, out=np.zeros(n_docs), where=total > 0)
         count = np.bincount(d, minlength=n_docs)
         found[rule] = share * count, count
-    at, marks = grams(3)
-    found["variety"] = np.bincount(doc[at[_again(marks)]], minlength=n_docs), np.bincount(doc[at], minlength=n_docs)
     return found
 
 
@@ -209,42 +214,67 @@ def measure(texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return judge((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), segments), 1)
 
 
-def votes(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The vote pattern of every text: one digit to the base 3 for each rule, the first rule in the lowest."""
-    pattern = np.zeros(len(found["runs"][0]), np.int64)
-    for k, (rule, (least, clean, repeated)) in enumerate(RULES.items()):
+def clean_below(share: float, size: int) -> float:
+    """The least share of repeated runs of `size` words, over all words, of a text with this share of repeated words.
+
+    The words in repeated runs of 8 are stretches made of such runs; of two that follow each other within 8 words, the
+    first adds d <= 8 words to the stretch and at least min(d, 9 - size) places where a repeated run of `size` words begins.
+    """
+    return share * (RUN_WORDS + 1 - size) / RUN_WORDS
+
+
+def votes(found: dict[str, tuple[np.ndarray, np.ndarray]], share: float = SHARE) -> np.ndarray:
+    """The vote pattern of every text: one digit to the base 3 for each rule, the first rule in the lowest.
+
+    A text with too few words for a run of 8 has no repeated word; the rules on words vote it clean, unless it has none.
+    """
+    words = found["runs"][1]
+    pattern = np.zeros(len(words), np.int64)
+    for k, rule in enumerate(RULES):
         part, whole = found[rule]
-        share = part / np.maximum(whole, 1)
-        vote = np.where(share >= repeated, REPEATED, np.where(share < clean, CLEAN, ABSTAIN))
-        pattern += np.where(whole < least, ABSTAIN, vote) * 3**k
+        if rule in GRAM_RULES:
+            size, repeated = GRAM_RULES[rule]
+            clean = (part < clean_below(share, size) * words - 1e-9) | (words < RUN_WORDS)
+            least = 1
+        else:
+            least, repeated = SEGMENT_RULES[rule]
+            clean = np.zeros(len(words), bool)
+        vote = np.where(clean, CLEAN, np.where(part >= repeated * np.maximum(whole, 1), REPEATED, ABSTAIN))
+        enough = (whole >= least) if rule in SEGMENT_RULES else (words >= least)
+        pattern += np.where(enough, vote, ABSTAIN) * 3**k
     return pattern
 
 
-def posteriors(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Probability of `repeated` for each vote pattern, by expectation-maximisation over the pattern counts.
+def posteriors(patterns: np.ndarray, counts: np.ndarray, steps: int = 500) -> tuple[np.ndarray, float]:
+    """Probability of `repeated` for each vote pattern, by expectation-maximisation over the pattern counts, and the
+    probability of a text without votes, the prior.
 
-    Rules err independently given the truth; an abstention says nothing. The start is the majority of the votes.
+    Rules err independently given the truth; an abstention says nothing. The start is the majority of the votes. A vote
+    that is estimated to be more frequent among texts of the other kind is taken to say nothing.
     """
     digits = np.array([[p // 3**k % 3 for k in range(len(RULES))] for p in patterns]).reshape(len(patterns), len(RULES))
     yes, no = digits == REPEATED, digits == CLEAN
     belief = (yes.sum(1) + 0.1) / (yes.sum(1) + no.sum(1) + 1.0)
     weight = counts.astype(float)
+    prior = 0.1
     for _ in range(steps):
-        prior = (weight @ belief + 1) / (weight.sum() + 10)
+        prior = float((weight @ belief + 1) / (weight.sum() + 10))
         rates = []
-        for share in (belief, 1 - belief):  # of documents of either kind, how often each rule votes `repeated`
-            voted, total = (weight * share) @ yes, (weight * share) @ (yes | no)
-            rates.append((voted + (0.9 if share is belief else 0.1)) / (total + 1))
-        logit = np.log(prior / (1 - prior))
-        logit = logit + yes @ np.log(rates[0] / rates[1]) + no @ np.log((1 - rates[0]) / (1 - rates[1]))
+        for share in (belief, 1 - belief):  # of documents of either kind, how often each rule votes for and against
+            total = (weight * share).sum() + 2
+            rates.append((((weight * share) @ yes + 1) / total, ((weight * share) @ no + 1) / total))
+        speaks_for = np.maximum(0, np.log(rates[0][0] / rates[1][0]))
+        speaks_against = np.minimum(0, np.log(rates[0][1] / rates[1][1]))
+        logit = np.log(prior / (1 - prior)) + yes @ speaks_for + no @ speaks_against
         new = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-        if np.abs(new - belief).max(initial=0) < 1e-10:
-            break
+        moved = np.abs(new - belief).max(initial=0)
         belief = new
-    return belief
+        if moved < 1e-10:
+            break
+    return belief, prior
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(sizes), 0
@@ -254,18 +284,19 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, end - at)
             found = measure([t or "" for t in part.column("text").to_pylist()])
             repeated, words = found["runs"]
-            columns = [pa.array(x.astype(np.int64)) for x in (words, repeated, votes(found))]
+            columns = [pa.array(x.astype(np.int64)) for x in (words, repeated, votes(found, share))]
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", "words", "repeated_words", "pattern"])
             at = end
 
 
-def repetition(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def repetition(df: DataFrame, doc_id: str, text: str, share: float = SHARE) -> DataFrame:
     """(doc_id, words, repeated_words, repeated_share, posterior, possible): repetition within each text.
 
     A word is a maximal run of letters, in lower case; it is repeated if it lies in a run of 8 consecutive words that
     also begins at an earlier word of the text. The share is repeated words over words, 0 without words. `posterior`
-    is the probability that the text is repetitive, `possible` whether it reaches the least posterior that any
-    text has for which the first rule votes `repeated`. A null or an empty text has no words; all rules abstain on it.
+    is the probability that the text is repetitive, of a share of `share` or more; `possible` is whether it is the prior
+    at least, which holds for every text of that share. Votes and share are taken in one pass, as reading
+    the text is what costs. A null or an empty text has no words; all rules abstain on it.
     One row comes out for every row, repeated rows and null ids included. An empty table gives no rows; further
     columns are ignored.
     """
@@ -273,23 +304,22 @@ def repetition(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         [T.StructField("id", df.schema[doc_id].dataType)] + [T.StructField(c, T.LongType()) for c in ("words", "repeated_words", "pattern")]
     )
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    measured = materialize(rows.mapInArrow(_measured, schema))
+    measured = materialize(rows.mapInArrow(lambda batches: _measured(batches, share), schema))
     counted = measured.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toArrow()
     patterns, counts = counted["pattern"].to_numpy(), counted["n"].to_numpy()
-    belief = posteriors(patterns, counts)
-    least = belief[patterns % 3 == REPEATED].min(initial=1.0)
-    known = [(int(p), float(b), bool(b >= least)) for p, b in zip(patterns, belief, strict=True)]
+    belief, prior = posteriors(patterns, counts)
+    known = [(int(p), float(b), bool(b >= prior * (1 - 1e-9))) for p, b in zip(patterns, belief, strict=True)]
     lookup = df.sparkSession.createDataFrame(known, "pattern long, posterior double, possible boolean")
-    share = F.when(F.col("words") > 0, F.col("repeated_words") / F.col("words")).otherwise(0.0)
+    of_all = F.when(F.col("words") > 0, F.col("repeated_words") / F.col("words")).otherwise(0.0)
     return measured.join(F.broadcast(lookup), "pattern").select(  # 3 to the number of rules, at most
-        F.col("id").alias(doc_id), "words", "repeated_words", share.alias("repeated_share"), "posterior", "possible"
+        F.col("id").alias(doc_id), "words", "repeated_words", of_all.alias("repeated_share"), "posterior", "possible"
     )
 
 
-def repetitive(df: DataFrame, doc_id: str, text: str, share: float) -> DataFrame:
-    """(doc_id): texts whose share of repeated words is at least `share`, which must be what the first rule votes
-    `repeated` from, or more: candidates come by their posterior, none of them is missed, and the share decides."""
-    if share < RULES["runs"][2]:
-        raise ValueError(f"the share must be at least {RULES['runs'][2]}")
-    found = repetition(df, doc_id, text).filter(F.col("possible") & (F.col("repeated_share") >= share))
+def repetitive(df: DataFrame, doc_id: str, text: str, share: float = SHARE) -> DataFrame:
+    """(doc_id): texts whose share of repeated words is at least `share`, above 0. Candidates are the texts whose
+    posterior is the prior at least, the share itself is the exact check of them."""
+    if not 0 < share <= 1:
+        raise ValueError("the share must be above 0 and at most 1")
+    found = repetition(df, doc_id, text, share).filter(F.col("possible") & (F.col("repeated_share") >= share))
     return found.select(doc_id).distinct()

@@ -5,7 +5,7 @@ import pytest
 import regex
 
 from strandloom.llm import repetition as r
-from strandloom.llm.repetition import measure, posteriors, repetition, repetitive
+from strandloom.llm.repetition import measure, posteriors, repetition, repetitive, votes
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -64,10 +64,64 @@ def test_expectation_maximisation_finds_the_good_rules():
         vote[rng.random(len(truth)) < 0.3] = r.ABSTAIN
         pattern += vote * 3**k
     kinds, at, counts = np.unique(pattern, return_inverse=True, return_counts=True)
-    belief = posteriors(kinds, counts)[at]
+    belief = posteriors(kinds, counts)[0][at]
     assert ((belief > 0.5) == truth).mean() > 0.93
     assert abs(belief.mean() - 0.2) < 0.05
-    assert posteriors(np.zeros(0, int), np.zeros(0, int)).tolist() == []
+    assert posteriors(np.zeros(0, int), np.zeros(0, int))[0].tolist() == []
+
+
+def planted(rng, repeats):
+    """A text of some hundred made-up words in lines, sentences and paragraphs; `repeats` of it is said again."""
+    def fresh(n):
+        return ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(n)]
+
+    kind, parts = rng.choice(["line", "paragraph", "sentence", "phrase"]), []
+    joint = {"line": "\n", "paragraph": "\n\n", "sentence": ". ", "phrase": " "}[kind]
+    phrase = " ".join(fresh(rng.randrange(9, 20)))
+    for _ in range(rng.randrange(8, 40)):
+        parts.append(phrase if rng.random() < repeats else " ".join(fresh(rng.randrange(9, 20))))
+    return joint.join(parts)
+
+
+def test_posteriors_tell_planted_texts():
+    rng = random.Random(5)
+    labels = [rng.random() < 0.15 for _ in range(1500)]
+    texts = [planted(rng, rng.uniform(0.55, 0.95) if label else rng.choice([0, 0, 0, 0.1])) for label in labels]
+    found = measure(texts)
+    pattern = votes(found)
+    kinds, at, counts = np.unique(pattern, return_inverse=True, return_counts=True)
+    belief, prior = posteriors(kinds, counts)
+    said = belief[at] > 0.5
+    truth = np.array(labels)
+    assert (said & truth).sum() / said.sum() > 0.95 and (said & truth).sum() / truth.sum() > 0.95
+    assert abs(prior - truth.mean()) < 0.03
+    # all rules must agree: what the posterior replaces finds far fewer
+    agreeing = np.array([all(p // 3**k % 3 == r.REPEATED for k in range(len(r.RULES))) for p in kinds])[at]
+    assert (agreeing & truth).sum() < 0.3 * truth.sum()
+    # the candidates are few, and what is left out has been proved clean
+    possible = belief[at] >= prior
+    share = found["runs"][0] / np.maximum(found["runs"][1], 1)
+    assert possible.mean() < 0.5 and not (~possible & (share >= r.SHARE)).any()
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.75])
+def test_no_rule_votes_clean_on_a_text_with_the_share(share):
+    rng, texts = random.Random(8), []
+    for _ in range(4000):
+        stock = [f"{a}{b}" for a in "abcdef" for b in "ghijklmnopqrstu"[: rng.randrange(1, 15)]]
+        words = rng.choices(stock, k=rng.randrange(4, 60))
+        for _ in range(rng.choice([0, 1, 2, 3, 40])):
+            at, n = rng.randrange(len(words)), rng.randrange(8, 12)
+            to = rng.randrange(len(words) + 1)
+            words[to:to] = words[at : at + n]
+        texts.append(" ".join(words))
+    found = measure(texts)
+    repeated, words = found["runs"]
+    having = repeated >= share * np.maximum(words, 1)
+    digits = np.array([[p // 3**k % 3 for k in range(len(r.RULES))] for p in votes(found, share)])
+    assert having.sum() > 100
+    assert not (digits[having] == r.CLEAN).any()
+    assert (digits[~having] == r.CLEAN).any(axis=1).mean() > 0.3
 
 
 def test_whole_table(spark, monkeypatch):
@@ -77,6 +131,7 @@ def test_whole_table(spark, monkeypatch):
     got = repetition(documents, "doc_id", "text").collect()
     assert {d.doc_id: (d.words, d.repeated_words) for d in got} == expected
     assert all(0 <= d.posterior <= 1 for d in got)
+    assert sum(d.possible for d in got) < 0.2 * len(got)
     found = {d.doc_id for d in repetitive(documents, "doc_id", "text", 0.3).collect()}
     assert found == {i for i, (n, k) in expected.items() if n and k / n >= 0.3}
 
@@ -93,7 +148,8 @@ def test_nulls_empty_repeated_and_clashing_names(spark):
     assert sorted(d.doc_id or 0 for d in repetitive(df, "doc_id", "text", 0.3).collect()) == [0, 3]
     assert repetition(df.limit(0), "doc_id", "text").collect() == []
     with pytest.raises(ValueError):
-        repetitive(df, "doc_id", "text", 0.2)
+        repetitive(df, "doc_id", "text", 0.0)
+    assert sorted(d.doc_id or 0 for d in repetitive(df, "doc_id", "text", 0.05).collect()) == [0, 3]
 
 
 def test_very_long_text(spark):
@@ -111,6 +167,6 @@ def test_all_rules_in_parts(monkeypatch, most):
     monkeypatch.setattr(r, "AT_A_TIME", most)
     for text, expected in zip(texts, whole):
         got = measure([text])
-        assert {rule: (got[rule][0][0], got[rule][1][0]) for rule in r.RULES} == {
-            rule: (expected[rule][0][0], expected[rule][1][0]) for rule in r.RULES
-        }
+        for rule in ("runs", *r.RULES):
+            assert (got[rule][0][0], got[rule][1][0]) == (expected[rule][0][0], expected[rule][1][0])
+        assert votes(got)[0] == votes(expected)[0]
