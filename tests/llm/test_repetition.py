@@ -110,10 +110,11 @@ def test_no_rule_votes_clean_on_a_text_with_the_share(share):
     for _ in range(4000):
         stock = [f"{a}{b}" for a in "abcdef" for b in "ghijklmnopqrstu"[: rng.randrange(1, 15)]]
         words = rng.choices(stock, k=rng.randrange(4, 60))
-        for _ in range(rng.choice([0, 1, 2, 3, 40])):
-            at, n = rng.randrange(len(words)), rng.randrange(8, 12)
-            to = rng.randrange(len(words) + 1)
+        for _ in range(rng.randrange(4)):
+            at, n, to = rng.randrange(len(words)), rng.randrange(8, 12), rng.randrange(len(words) + 1)
             words[to:to] = words[at : at + n]
+        if rng.random() < 0.2:
+            words += words[-rng.randrange(8, 20) :] * rng.randrange(1, 12)
         texts.append(" ".join(words))
     found = measure(texts)
     repeated, words = found["runs"]
