@@ -44,9 +44,10 @@ def made_up(seed, n=120, hot=True):
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8, 1.0])
-@pytest.mark.parametrize("hot_rows", [1, 6, 500])
-def test_all_pairs(spark, monkeypatch, threshold, hot_rows):
+@pytest.mark.parametrize("hot_rows, gain", [(1, 0), (6, 1), (500, 8)])  # gain 0 splits down to the deepest lists
+def test_all_pairs(spark, monkeypatch, threshold, hot_rows, gain):
     monkeypatch.setattr(setjoin.similar_sets, "__defaults__", (50, hot_rows))
+    monkeypatch.setattr(setjoin, "SPLIT_GAIN", gain)
     rows = made_up(int(threshold * 10) + hot_rows)
     got = similar_pairs(frame(spark, rows), F.col("id"), F.col("items"), threshold).collect()
     found = {(r.record_a, r.record_b): r.shared for r in got}
@@ -81,3 +82,40 @@ def test_empty_tables_and_sets(spark):
 def test_very_long_set(spark):
     rows = [(1, list(range(50_000))), (2, list(range(10_000, 50_000))), (3, list(range(25_000)))]
     assert {(r.record_a, r.record_b) for r in similar_pairs(frame(spark, rows), F.col("id"), F.col("items"), 0.6).collect()} == {(1, 2)}
+
+
+def third_hot(n, seed=3):
+    """A third of the sets hold one token, and all of them tokens of which each is in more sets yet."""
+    rng = random.Random(seed)
+    return [(i, [-5, *rng.sample(range(14), 5)] if i % 3 == 0 else rng.sample(range(14), 7)) for i in range(n)]
+
+
+def test_a_token_in_a_third_of_the_sets(spark):
+    candidates = {}
+    for n in (300, 600):
+        rows = third_hot(n)
+        sets, _ = setjoin.set_classes(frame(spark, rows), F.col("id"), F.col("items"))
+        rarity = setjoin.rarity_of(sets, 2)  # a token of half of all occurrences would be frequent: there is none
+        assert not len(rarity.frequent)
+        index = setjoin.index_of(sets, 0.6, 2, 40)
+        whole = setjoin.index_of(sets, 0.6, 2, 10**6)
+        longest = [d.groupBy("key").count().agg(F.max("count")).first()[0] for d in (whole, index)]
+        assert longest[0] > n // 4 and longest[1] < n // 12
+        found = {(r.a, r.b) for r in setjoin.similar_sets(sets, 0.6, 2, 40).select("a", "b").collect()}
+        assert found == {(r.a, r.b) for r in setjoin.similar_sets(sets, 0.6, 2, 10**6).select("a", "b").collect()}
+        assert len(found) > 20
+        candidates[n] = setjoin.candidate_pairs(index, 0.6).count() / len(found)
+        assert candidates[n] < setjoin.candidate_pairs(whole, 0.6).count() / len(found) / 2
+        # what a split adds is bounded by the pairs it saves, and for a set by its prefix, once for each token of it
+        assert index.count() < whole.count() + longest[0] ** 2 / setjoin.SPLIT_GAIN * n / 40
+    assert candidates[600] < 2 * candidates[300]
+
+
+def test_tiny_sets_under_a_long_list(spark, monkeypatch):
+    monkeypatch.setattr(setjoin.similar_sets, "__defaults__", (50, 2))
+    monkeypatch.setattr(setjoin, "SPLIT_GAIN", 0)
+    rows = [(i, [1, 2, 100 + i]) for i in range(40)] + [(40, [1, 2]), (41, [1]), (42, [2, 1, 3, 4])] + [(50 + i, [1, 2, 3, 100 + i]) for i in range(40)]
+    for partitions in (1, 7):
+        df = frame(spark, rows).repartition(partitions)
+        got = similar_pairs(df, F.col("id"), F.col("items"), 0.6).collect()
+        assert {(r.record_a, r.record_b): r.shared for r in got} == plain(rows, 0.6)
