@@ -92,7 +92,7 @@ def third_hot(n, seed=3):
 
 def test_a_token_in_a_third_of_the_sets(spark):
     candidates = {}
-    for n in (300, 600):
+    for n in (600, 1200):
         rows = third_hot(n)
         sets, _ = setjoin.set_classes(frame(spark, rows), F.col("id"), F.col("items"))
         rarity = setjoin.rarity_of(sets, 2)  # a token of half of all occurrences would be frequent: there is none
@@ -108,7 +108,7 @@ def test_a_token_in_a_third_of_the_sets(spark):
         assert candidates[n] < setjoin.candidate_pairs(whole, 0.6).count() / len(found) / 2
         # what a split adds is bounded by the pairs it saves, and for a set by its prefix, once for each token of it
         assert index.count() < whole.count() + longest[0] ** 2 / setjoin.SPLIT_GAIN * n / 40
-    assert candidates[600] < 2 * candidates[300]
+    assert candidates[1200] < 2 * candidates[600]
 
 
 def test_tiny_sets_under_a_long_list(spark, monkeypatch):
