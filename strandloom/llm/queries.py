@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.packing import fill_of, pack_documents
 from strandloom.llm.repetition import repetition, repetitive
 from strandloom.llm.setjoin import similar_classes, similar_pairs
-from strandloom.llm.splitting import split_fragments
+from strandloom.llm.splitting import split_fragments, split_texts
 from strandloom.llm.tokenizer import encode_texts
 from strandloom.llm.topn import top_n
 from strandloom.session import table
 
 SIMILAR = 0.6
+PIECE, PIECE_OVERLAP = 2000, 200
 TOP = 5
 TOKENIZER = "byte_bpe_50k"
 REPETITIVE = 0.3
@@ -25,6 +26,30 @@ def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return split_fragments(*(table(spark, data_dir, t) for t in ("fragments", "contigs", "genomes", "sketch_params")))
 
 
+def p1_documents(spark: SparkSession, data_dir: str) -> DataFrame:
+    return split_texts(table(spark, data_dir, "documents"), "doc_id", "text", PIECE, PIECE_OVERLAP)
+
+
+def p1_documents_covered(spark: SparkSession, data_dir: str) -> DataFrame:
+    """What the pieces of every document add up to, and how many break a rule."""
+    documents = table(spark, data_dir, "documents").select("doc_id", F.length("text").cast("long").alias("letters"))
+    pieces = p1_documents(spark, data_dir)
+    behind = Window.partitionBy("doc_id").orderBy("piece")  # of one document, which is in one row before
+    reach = F.lead("piece_start").over(behind) + PIECE_OVERLAP
+    marked = pieces.join(documents, "doc_id").select(
+        "*",
+        (F.col("piece_end") - F.col("piece_start") > PIECE).cast("long").alias("is_too_long"),
+        (F.coalesce(F.least(reach, F.col("letters")), F.col("letters")) != F.col("piece_end")).cast("long").alias("is_off"),
+    )
+    return marked.groupBy("doc_id", "letters").agg(
+        F.min("piece_start").alias("first_start"),
+        F.max("piece_end").alias("last_end"),
+        F.sum("is_too_long").alias("too_long"),
+        F.sum("is_off").alias("wrong_overlaps"),
+        (F.count(F.lit(1)) > 1).alias("is_split"),
+    )
+
+
 def _unsigned(tokens: Column) -> Column:
     """Keys modulo 2^32, kept as the 32-bit integers with the same bits to halve what is shuffled."""
     return F.transform(tokens, lambda x: F.pmod(x + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)).cast("array<int>")
@@ -87,6 +112,8 @@ def p8_posterior(spark: SparkSession, data_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_documents": p1_documents,
+    "p1_documents_covered": p1_documents_covered,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p2_classes": p2_classes,
@@ -164,6 +191,10 @@ UNION ALL
 SELECT fragment_id, p, p + l FROM firsts WHERE p + l <= s1
 UNION ALL
 SELECT fragment_id, p, s1 FROM firsts WHERE p = s0 + (last_full + 1) * st AND s1 - p >= lmin""",
+    "p1_documents_covered": """
+SELECT doc_id, CAST(length(text) AS BIGINT) AS letters, CAST(0 AS BIGINT) AS first_start, CAST(length(text) AS BIGINT) AS last_end,
+       CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS wrong_overlaps, length(text) > 2000 AS is_split
+FROM documents WHERE length(text) > 0""",
     "p2_found": f"""
 WITH {_SETS}
 SELECT fa AS fragment_id_a, fb AS fragment_id_b FROM pairs""",

@@ -1,10 +1,16 @@
 """Splitting oversized items at natural boundaries, by agglomerative merging.
 
-An item is a range of positions with breaks in it: stretches of positions that part its content and belong to no
-piece. The stretches between breaks are atomic as long as they keep to the limit; a longer one is cut into atoms of
-`stride` positions, whose pieces reach `overlap = limit - stride` positions into what follows. All adjacent atoms
-of a stretch are held in a heap, the weakest boundary first, and merged while the merged atoms together with their
-overlap fit. A break is a boundary of infinite strength: it is never merged away.
+An item is a range of positions that is parted to atoms. All adjacent atoms are held in a heap by the strength of the
+boundary between them, and merged, the weakest boundary first, while the merged atoms together with their overlap fit.
+
+Texts have boundaries of five strengths: the ends of paragraphs, lines, sentences and words, and any place within a word.
+An atom is refined by weaker boundaries only if it does not fit itself: the weaker ones inside an atom that fits would
+all be merged away before any stronger one is looked at.
+
+Fragments of a sequence have runs of letters that part them, whatever they contain: boundaries of infinite strength. The
+stretches between these are atomic as long as they keep to the limit. A longer one is cut into atoms of `stride`
+positions, whose pieces reach `overlap = limit - stride` positions into what follows. All its boundaries are of one
+strength, and two whole atoms never fit, so there merging decides about the last atoms only; the rest is windows.
 """
 
 from __future__ import annotations
@@ -14,8 +20,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Letters that the runs of a contig are gathered by: a fragment meets few of these parts, however long its contig is.
+PART = 2**16
+#: Boundaries of a text from the strongest to the weakest; each is the place behind what it matches.
+PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = 5.0, 4.0, 3.0, 2.0, 1.0
+BOUNDARIES = (
+    (PARAGRAPH, regex.compile(r"\n\s*\n")),
+    (LINE, regex.compile(r"\n")),
+    (SENTENCE, regex.compile(r"[.!?]+\s+")),
+    (WORD, regex.compile(r"\s+")),
+)
 
 
 def merge_atoms(edges: list[int], strengths: list[float], fits: Callable[[int, int], bool]) -> list[tuple[int, int]]:
@@ -38,6 +57,41 @@ def merge_atoms(edges: list[int], strengths: list[float], fits: Callable[[int, i
     return sorted(right.items())
 
 
+def atoms_of(text: str, most: int, boundaries=BOUNDARIES) -> tuple[list[int], list[float]]:
+    """The edges of the atoms of a text, each of `most` letters at most, and the strengths of the inner ones."""
+    edges, strengths = [0], []
+
+    def refine(start: int, end: int, level: int) -> None:
+        if end - start <= most:
+            edges.append(end)
+        elif level == len(boundaries):
+            for at in range(start + most, end, most):
+                edges.append(at)
+                strengths.append(INSIDE)
+            edges.append(end)
+        else:
+            strength, pattern = boundaries[level]
+            for found in pattern.finditer(text, start, end):
+                if start < found.end() < end:
+                    refine(start, found.end(), level + 1)
+                    strengths.append(strength)
+                    start = found.end()
+            refine(start, end, level + 1)
+
+    refine(0, len(text), 0)
+    return edges, strengths
+
+
+def split_text(text: str, limit: int, overlap: int, boundaries=BOUNDARIES) -> list[tuple[int, int]]:
+    """The pieces of a text, of at most `limit` letters, each reaching `overlap` letters into the one behind it."""
+    n = len(text)
+    if n <= limit:
+        return [(0, n)] if n else []
+    edges, strengths = atoms_of(text, limit - overlap, boundaries)
+    runs = merge_atoms(edges, strengths, lambda a, b: min(b + overlap, n) - a <= limit)
+    return [(a, min(b + overlap, n)) for a, b in runs]
+
+
 def split_stretch(start: int, end: int, limit: int, stride: int, least: int) -> list[tuple[int, int]]:
     """The pieces of one stretch without breaks, of at least `least` and at most `limit` positions each."""
     if end - start < least or end <= start:
@@ -61,9 +115,14 @@ def split_range(
     start: int, end: int, breaks: list[tuple[int, int]], limit: int, stride: int, least: int, least_break: int
 ) -> list[tuple[int, int]]:
     """The pieces of [start, end); `breaks` are ordered and disjoint, and those of at least `least_break` positions
-    inside the range part it (none does if `least_break` is 0)."""
+    inside the range part it (none does if `least_break` is 0). Breaks that touch are one."""
     if least_break > 0:
-        inside = [(max(a, start), min(b, end)) for a, b in breaks]
+        whole: list[tuple[int, int]] = []
+        for a, b in breaks:
+            if whole and whole[-1][1] == a:
+                a = whole.pop()[0]
+            whole.append((a, b))
+        inside = [(max(a, start), min(b, end)) for a, b in whole]
         inside = [(a, b) for a, b in inside if b - a >= least_break]
     else:
         inside = []
@@ -75,31 +134,33 @@ def _runs_of(batches: Iterator[pa.RecordBatch], letters: bytes) -> Iterator[pa.R
     wanted = np.zeros(256, bool)
     wanted[list(letters)] = True
     for batch in batches:
-        out: dict[str, list] = {"letters": [], "run_starts": [], "run_ends": []}
-        for text in batch.column("text").to_pylist():
+        owner, size, part, starts, ends = [], [], [], [], []
+        for row, text in enumerate(batch.column("text").to_pylist()):
             # one byte a letter, so that places are letters; whatever is beyond ASCII is no wanted letter
             codes = np.frombuffer(text.encode("ascii", "replace"), np.uint8) if text else np.zeros(0, np.uint8)
-            hit = np.zeros(len(codes) + 2, np.int8)
-            hit[1:-1] = wanted[codes]
-            change = np.flatnonzero(np.diff(hit))
-            out["letters"].append(len(codes))
-            out["run_starts"].append(change[0::2])
-            out["run_ends"].append(change[1::2])
-        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-        lists = [pa.array(out[k], type=pa.list_(pa.int64())) for k in ("run_starts", "run_ends")]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(out["letters"], type=pa.int64()), *lists],
-            names=[*batch.schema.names[:-1], "letters", "run_starts", "run_ends"],
-        )
+            for at in range(0, len(codes), PART):
+                hit = np.zeros(min(PART, len(codes) - at) + 2, np.int8)
+                hit[1:-1] = wanted[codes[at : at + PART]]
+                change = np.flatnonzero(np.diff(hit)) + at
+                owner.append(row)
+                size.append(len(codes))
+                part.append(at // PART)
+                starts.append(change[0::2])
+                ends.append(change[1::2])
+        kept = [batch.column(i).take(pa.array(owner, type=pa.int64())) for i in range(batch.num_columns - 1)]
+        numbers = [pa.array(x, type=pa.int64()) for x in (size, part)]
+        lists = [pa.array(x, type=pa.list_(pa.int64())) for x in (starts, ends)]
+        yield pa.RecordBatch.from_arrays([*kept, *numbers, *lists], names=[*batch.schema.names[:-1], "letters", "part", "run_starts", "run_ends"])
 
 
 def letter_runs(df: DataFrame, keys: list[str], text: str, letters: str) -> DataFrame:
-    """(*keys, letters, run_starts, run_ends): length of the text and the maximal runs of any of `letters` (ASCII).
+    """(*keys, letters, part, run_starts, run_ends): length of the text and, for every part of PART letters of it, the
+    maximal runs there of any of `letters` (ASCII). A run that reaches into the next part is cut where that begins.
 
-    A null or an empty text has length 0 and no runs. The text itself does not leave the task.
+    A null or an empty text has no parts. The text itself does not leave the task.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    schema = f"{fields}, letters long, run_starts array<long>, run_ends array<long>"
+    schema = f"{fields}, letters long, part long, run_starts array<long>, run_ends array<long>"
     code = letters.encode("ascii")
     return df.select(*keys, F.col(text).alias("text")).mapInArrow(lambda batches: _runs_of(batches, code), schema)
 
@@ -173,22 +234,55 @@ def oversized_fragments(fragments: DataFrame, genomes: DataFrame, params: DataFr
 def split_fragments(fragments: DataFrame, contigs: DataFrame, genomes: DataFrame, params: DataFrame) -> DataFrame:
     """(fragment_id, piece_start, piece_end) of the oversized fragments, cut at their contig's runs of N.
 
-    Only the places of the runs are joined to the fragments, never the sequences. A fragment is clipped to its
-    contig's letters; one whose contig is missing, null or empty has no letters and gives nothing.
+    Only the places of the runs are joined to the fragments, never the sequences, and of these the ones in the parts of
+    the contig that a fragment reaches over. A fragment is clipped to its contig's letters; one whose contig is
+    missing, null or empty has no letters and gives nothing.
     """
     oversized = oversized_fragments(fragments, genomes, params)
     whole = contigs.filter("side = 'query' AND length(seq) > 0")
-    runs = letter_runs(whole, ["file_id", "contig_id"], "seq", "Nn").dropDuplicates(["file_id", "contig_id"])
+    runs = letter_runs(whole, ["file_id", "contig_id"], "seq", "Nn").dropDuplicates(["file_id", "contig_id", "part"])
     runs = runs.withColumnRenamed("file_id", "query_id")
-    items = oversized.join(runs, ["query_id", "contig_id"]).select(
+    parts = F.sequence(F.floor(F.greatest("frag_start", F.lit(0)) / PART), F.floor((F.col("frag_end") - 1) / PART))
+    reached = oversized.filter("frag_end > 0").withColumn("part", F.explode(parts))
+    settings = ["limit", "stride", "least", "least_break"]
+    gathered = (
+        reached.join(runs, ["query_id", "contig_id", "part"])
+        .groupBy("fragment_id", "frag_start", "frag_end", *settings)
+        .agg(F.max("letters").alias("letters"), F.array_sort(F.collect_list(F.struct("part", "run_starts", "run_ends"))).alias("parts"))
+    )
+    items = gathered.select(
         F.col("fragment_id").alias("item"),
         F.greatest("frag_start", F.lit(0)).alias("start"),
         F.least("frag_end", "letters").alias("end"),
-        "limit",
-        "stride",
-        "least",
-        "least_break",
-        "run_starts",
-        "run_ends",
+        *settings,
+        *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in ("run_starts", "run_ends")],
     )
     return split_oversized(items).withColumnRenamed("item", "fragment_id")
+
+
+def _split_texts(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, nth, starts, ends = [], [], [], []
+        for row, text in enumerate(batch.column("text").to_pylist()):
+            pieces = split_text(text or "", limit, overlap)
+            rows += [row] * len(pieces)
+            nth += range(len(pieces))
+            starts += [a for a, _ in pieces]
+            ends += [b for _, b in pieces]
+        numbers = [pa.array(x, type=pa.int64()) for x in (nth, starts, ends)]
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, type=pa.int64())), *numbers], names=["id", "piece", "piece_start", "piece_end"])
+
+
+def split_texts(df: DataFrame, doc_id: str, text: str, limit: int, overlap: int) -> DataFrame:
+    """(doc_id, piece, piece_start, piece_end): every text as pieces of at most `limit` letters, in order, cut at the
+    ends of paragraphs, lines, sentences or words where possible. A piece ends `overlap` letters behind where the next
+    one starts, less at the end of the text; all together cover the text.
+
+    A null or an empty text has no piece, one of at most `limit` letters is one. Rows are split each for itself,
+    repeated ones and those with a null id included; an empty table gives no rows; further columns are ignored.
+    """
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be less than the limit")
+    schema = T.StructType([T.StructField("id", df.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("piece", "piece_start", "piece_end")]])
+    rows = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: _split_texts(batches, limit, overlap), schema).withColumnRenamed("id", doc_id)
