@@ -15,40 +15,46 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import slices_of
+from strandloom.session import materialize, slices_of
 
 CHUNK_ROWS = 65_536
 
 
+def _dealt(rows: DataFrame, key: str, order: list[str], slices: int) -> DataFrame:
+    """Add `slice` and `_hash`, a hash of the key, and bring rows together by both: a hot key is in all slices."""
+    marked = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int")).withColumn("_hash", F.xxhash64(key))
+    # neither is ever null; said here, the planner does not say it on one side of a later join only and shuffle twice
+    return marked.filter("slice IS NOT NULL AND _hash IS NOT NULL").repartition(slices, "slice", "_hash")
+
+
 def number_rows(rows: DataFrame, key: str, order: list[str], slices: int) -> DataFrame:
     """Add `slice` and `ordinal`, the 0-based exact position of a row within its key in (slice, order) order.
 
     A null key is a key of its own. `order` must tell rows apart within a key for the numbering to be the same in
     every run. The widest window is one (slice, key); the prefix sum of a key sees one row per slice.
     """
-    dealt = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
-    dealt = dealt.filter("slice IS NOT NULL").repartition(slices, "slice")  # see distinct_records
-    return _number_dealt(dealt, key, order)
+    return _number_dealt(_dealt(rows, key, order, slices), key, order).drop("_hash")
 
 
 def _number_dealt(dealt: DataFrame, key: str, order: list[str]) -> DataFrame:
-    within = Window.partitionBy("slice", key).orderBy(*order)
+    """The rows stay where they were dealt to: only the counts of the slices are shuffled, to their key and back."""
+    within = Window.partitionBy("slice", "_hash", key).orderBy(*order)
     local = dealt.withColumn("_local", F.row_number().over(within) - 1)
-    counts = dealt.groupBy("slice", key).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("slice").alias("_slice"), F.col(key).alias("_key"), "_n").withColumn(
+    counts = dealt.groupBy("slice", "_hash", key).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_by", "_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("slice").alias("_slice"), F.col("_hash").alias("_by"), F.col(key).alias("_key"), "_n").withColumn(
         "_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))
     )
-    numbered = local.join(offsets, (F.col("slice") == F.col("_slice")) & F.col(key).eqNullSafe(F.col("_key")))
-    return numbered.withColumn("ordinal", F.col("_offset") + F.col("_local")).drop(
-        "_slice", "_key", "_n", "_offset", "_local"
-    )
+    # said in a way that the planner does not take for a join key, by which the rows are not dealt
+    same = F.coalesce(F.col(key) == F.col("_key"), F.col(key).isNull() & F.col("_key").isNull())
+    numbered = local.join(offsets, (F.col("slice") == F.col("_slice")) & (F.col("_hash") == F.col("_by")) & same)
+    return numbered.withColumn("ordinal", F.col("_offset") + F.col("_local")).drop("_slice", "_by", "_key", "_n", "_offset", "_local")
 
 
 def distinct_records(
     df: DataFrame, record_id: Column, key: Column, value: Column, order: Column | None, slices: int
 ) -> DataFrame:
-    """(record, key, value, position, slice): every record once, dealt into slices.
+    """(record, key, value, position, slice, _hash): every record once, dealt into slices.
 
     Copies of a record agree in key, value and position, hence meet in one slice; a row with a null record id is a
     record of its own and is kept. The slice also hashes the record, so a hot key is spread evenly.
@@ -56,10 +62,8 @@ def distinct_records(
     rows = df.select(
         record_id.alias("record"), key.alias("key"), value.alias("value"), (order if order is not None else F.lit(None).cast("long")).alias("position")
     )
-    dealt = rows.withColumn("slice", F.pmod(F.xxhash64("record", "key", "value", "position"), F.lit(slices)).cast("int"))
-    # a slice is never null; said here, the planner does not say it on one side of a later join only and shuffle twice
-    dealt = dealt.filter("slice IS NOT NULL").repartition(slices, "slice")
-    first = F.row_number().over(Window.partitionBy("slice", "record").orderBy("key", "position", "value"))
+    dealt = _dealt(rows, "key", ["record", "key", "value", "position"], slices)
+    first = F.row_number().over(Window.partitionBy("slice", "_hash", "record").orderBy("key", "position", "value"))
     return dealt.withColumn("_copy", first).filter((F.col("_copy") == 1) | F.col("record").isNull()).drop("_copy")
 
 
@@ -96,7 +100,7 @@ def per_key_totals(
 
     Nulls: a null value counts as 0, a null key is a key of its own, a row with a null record id is its own record.
     Repeated rows of a record count once. An empty table gives no rows. Further columns are ignored. The chunks of
-    a key must join without gap or overlap, or the query fails.
+    a key must join without gap or overlap, or the query fails. Written once, a row for each key.
     """
     states = chunk_states(df, record_id, key, value, chunk_rows, slices)
     merged = states.groupBy("key").agg(
@@ -108,7 +112,7 @@ def per_key_totals(
     )
     whole = (F.col("_first") == 0) & (F.col("_last") == F.col("records") - 1)
     checked = F.when(whole, F.col("records")).otherwise(F.raise_error(F.lit("chunks of a key do not join")).cast("long"))
-    return merged.select("key", checked.alias("records"), "total", "chunks")
+    return materialize(merged.select("key", checked.alias("records"), "total", "chunks"))
 
 
 def heavy_keys(totals: DataFrame, share: float) -> DataFrame:
