@@ -8,8 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strandloom.functions.dna import minimizers_of_all
 from strandloom.functions.mash import mash_distance, upper_identity_column
+from strandloom.operators.sketch import chunks_of
+from strandloom.session import materialize
 
 #: Cells of the window-by-key table that is held at a time for a large region; windows that are scored side by side else.
 CELLS, SIDE_BY_SIDE = 1_000_000, 30_000
@@ -150,21 +154,25 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], k: int, w: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], k: int, w: int, bits: int, gathered: bool) -> Iterator[pa.RecordBatch]:
+    """`gathered` blocks count without the letters that they share with the next one."""
     for batch in batches:
         start, end, length = (_numbers(batch.column(c)) for c in ("region_start", "region_end", "length"))
         regions = np.arange(batch.num_rows)
         sketches, blocks = batch.column("minimizers"), batch.column("blocks")
         size = _numbers(sketches.value_lengths())
-        owner, query = np.repeat(regions, size), _numbers(sketches.flatten())
+        owner, query = np.repeat(regions, size), _numbers(sketches.flatten()) + HALF
         parts = blocks.flatten()
         of_part = np.repeat(regions, _numbers(blocks.value_lengths()))
         places, keys = parts.field("at"), parts.field("keys")
         lengths = _numbers(places.value_lengths())
         member = np.repeat(of_part, lengths)
-        places = _numbers(places.flatten()) + np.repeat(_numbers(parts.field("block")) << bits, lengths)
+        base = np.repeat(_numbers(parts.field("block")) << bits, lengths)
+        places = _numbers(places.flatten())
+        own = places < 2**bits if gathered else True
+        places += base
         keys = _numbers(keys.flatten()) + HALF
-        reach = (places >= start[member]) & (places < end[member] + length[member])
+        reach = own & (places >= start[member]) & (places < end[member] + length[member])
         member, places, keys = member[reach], places[reach], keys[reach]
         order = np.lexsort((places, member))
         width = np.maximum(0, length - (w - 1) - (k - 1))
@@ -179,54 +187,97 @@ _FOUND = ["sketch", "shared", "first_start", "last_start", "reference_keys"]
 
 
 def block_bits(fragment_length: int) -> int:
-    """Blocks are about as long as the usual fragment: a region meets a few and takes little beside what it needs."""
-    return max(6, (fragment_length - 1).bit_length())
+    """Blocks are as long as the usual region reaches, which is up to two fragments."""
+    return max(7, (fragment_length - 1).bit_length() + 1)
 
 
-def blocks_of(index: DataFrame, fragment_length: int) -> DataFrame:
-    """(shard, contig_id, block, at, keys): the index as one row for every 2**block_bits letters of a contig.
+def _in_blocks(batches: Iterator[pa.RecordBatch], k: int, w: int, seed: int, bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, texts in chunks_of(batch, "seq"):
+            owner, position, key = minimizers_of_all(texts, k, w, seed)
+            order = np.lexsort((position, owner))
+            owner, position, key = owner[order], position[order], key[order]
+            block = position >> bits
+            here = np.unique(np.r_[owner << 32 | block, (owner << 32 | block - 1)[block > 0]])
+            owner_of, block_of = here >> 32, here & 2**32 - 1
+            place = owner << 40 | position
+            low, high = (np.searchsorted(place, owner_of << 40 | block_of + n << bits) for n in (0, 2))
+            count = high - low
+            taken = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            at = (position[taken] - np.repeat(block_of << bits, count)).astype(np.int32)
+            keys = (key[taken] - HALF).astype(np.int32)
+            offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+            kept = [c.take(pa.array(owner_of)) for c in part.columns[:-1]]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (at, keys)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(block_of), *lists], names=[*part.schema.names[:-1], "block", "at", "keys"])
+
 
-    To take 32 bits each, `at` counts from the block's start and `keys` are less by half their range.
+def reference_blocks(segments: DataFrame, keys: list[str], k: int, w: int, seed: int, fragment_length: int) -> DataFrame:
+    """(*keys, block, at, keys): the minimizers of every sequence in `seq`, a row for every 2**block_bits letters with
+    those of the next as many letters as well, so that a region needs one row only unless it is longer than these.
+
+    They come in blocks from where the sequence is read. To take 32 bits each, `at` counts from the block's start and
+    `keys` are less by half their range. A block without minimizers in reach has no row.
     """
     bits = block_bits(fragment_length)
-    block = F.shiftright("pos", bits)
-    at = (F.col("pos") - F.shiftleft(block, bits)).cast("int").alias("at")
-    key = (F.col("key") - F.lit(HALF)).cast("int").alias("key")
-    pairs = index.select("shard", "contig_id", block.alias("block"), F.struct(at, key).alias("m"))
-    grouped = pairs.groupBy("shard", "contig_id", "block").agg(F.collect_list("m").alias("m"))
-    return grouped.select("shard", "contig_id", "block", F.col("m.at").alias("at"), F.col("m.key").alias("keys"))
+    rows = segments.select(*keys, "seq")
+    own = T.StructType.fromDDL("block long, at array<int>, keys array<int>")
+    schema = T.StructType([*rows.schema.fields[:-1], *own.fields])
+    return rows.mapInArrow(lambda batches: _in_blocks(batches, k, w, seed, bits), schema)
+
+
+def index_of_blocks(blocks: DataFrame, fragment_length: int) -> DataFrame:
+    """(shard, file_id, contig_id, key, pos): the minimizers of `reference_blocks`, each once."""
+    bits = block_bits(fragment_length)
+    pairs = blocks.select("shard", "file_id", "contig_id", "block", F.explode(F.arrays_zip("at", "keys")).alias("m")).filter(F.col("m.at") < 2**bits)
+    return pairs.select(
+        "shard",
+        "file_id",
+        "contig_id",
+        (F.col("m.keys").cast("long") + F.lit(HALF)).alias("key"),
+        (F.shiftleft("block", bits) + F.col("m.at")).alias("pos"),
+    )
+
+
+_REGION = ["query_id", "fragment_id", "file_id", "contig_id", "region_start", "region_end"]
 
 
 def window_scores(regions: DataFrame, fragments: DataFrame, blocks: DataFrame, k: int, w: int, fragment_length: int) -> DataFrame:
     """The best window of every region: its columns, length, sketch, shared, first_start, last_start, reference_keys.
 
-    Regions that share nothing have no row. `fragments` has query_id, fragment_id, length, minimizers; `blocks` are
-    the index's `blocks_of` the same fragment length.
+    Regions that share nothing have no row. `fragments` has query_id, fragment_id, length (`fragment_length` at most),
+    minimizers; `blocks` are `reference_blocks` of the same fragment length. The regions are written once.
+
+    A region is shuffled with its sketch to the one block that holds all it needs, and is scored there; blocks are
+    not copied by any shuffle. Only a region that is longer than a block, as repeats side by side make them, gathers several.
     """
     bits = block_bits(fragment_length)
-    touched = regions.join(fragments.select("query_id", "fragment_id", "length"), ["query_id", "fragment_id"]).withColumn(
-        "block",
-        F.explode(F.sequence(F.shiftright("region_start", bits), F.shiftright(F.col("region_end") + F.col("length") - 1, bits))),
+    regions = materialize(regions.select(*_REGION))
+    sketches = fragments.select(
+        "query_id", "fragment_id", F.col("length").cast("long").alias("length"), F.transform("minimizers", lambda x: (x - F.lit(HALF)).cast("int")).alias("minimizers")
     )
-    keys = ["query_id", "fragment_id", "file_id", "contig_id", "region_start", "region_end", "length"]
-    gathered = (
-        touched.join(blocks.drop("shard"), ["contig_id", "block"])
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("block", "at", "keys")).alias("blocks"))
-    )
-    whole = gathered.join(fragments.select("query_id", "fragment_id", "minimizers"), ["query_id", "fragment_id"])
-    regions_schema = "query_id int, fragment_id long, file_id int, contig_id long, region_start long, region_end long, length long"
-    numbers = ", ".join(f"{c} long" for c in _FOUND)
-    rows = whole.select(
-        F.col("query_id").cast("int").alias("query_id"),
-        F.col("fragment_id").cast("long").alias("fragment_id"),
-        F.col("file_id").cast("int").alias("file_id"),
-        F.col("contig_id").cast("long").alias("contig_id"),
-        *[F.col(c).cast("long").alias(c) for c in ("region_start", "region_end", "length")],
-        "minimizers",
-        "blocks",
-    )
-    return rows.mapInArrow(lambda batches: _scored(batches, k, w, bits), f"{regions_schema}, {numbers}")
+    fitting = F.col("region_end") - F.col("region_start") + F.lit(fragment_length) <= 2**bits
+    one = F.struct("block", "at", "keys")
+    places = blocks.select("contig_id", "block", "at", "keys")
+    first = F.shiftright("region_start", bits).alias("block")
+    short = regions.filter(fitting).join(sketches, ["query_id", "fragment_id"]).select(*_REGION, "length", "minimizers", first)
+    scored = _score(short.join(places, ["contig_id", "block"]).withColumn("blocks", F.array(one)), k, w, bits, False)
+    long = regions.filter(~fitting)
+    if long.isEmpty():
+        return scored
+    lengths = sketches.select("query_id", "fragment_id", "length")
+    every = F.sequence(F.shiftright("region_start", bits), F.shiftright(F.col("region_end") + F.col("length") - 1, bits))
+    touched = long.join(lengths, ["query_id", "fragment_id"]).withColumn("block", F.explode(every))
+    gathered = touched.join(places, ["contig_id", "block"]).groupBy(*_REGION, "length").agg(F.collect_list(one).alias("blocks"))
+    whole = gathered.join(sketches.drop("length"), ["query_id", "fragment_id"])
+    return scored.unionByName(_score(whole, k, w, bits, True))
+
+
+def _score(rows: DataFrame, k: int, w: int, bits: int, gathered: bool) -> DataFrame:
+    kinds = {"query_id": "int", "file_id": "int"}
+    schema = ", ".join([*(f"{c} {kinds.get(c, 'long')}" for c in _KEPT), *(f"{c} long" for c in _FOUND)])
+    typed = rows.select(*[F.col(c).cast(kinds.get(c, "long")).alias(c) for c in _KEPT], "minimizers", "blocks")
+    return typed.mapInArrow(lambda batches: _scored(batches, k, w, bits, gathered), schema)
 
 
 def mappings_of(scores: DataFrame, k: int, threshold: float, confidence: float) -> DataFrame:

@@ -18,7 +18,7 @@ from strandloom.session import broadcast_if_small, materialize
 AT_A_TIME = 2_000_000
 
 
-def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def chunks_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     texts = batch.column(column).to_pylist()
     at, letters = 0, 0
     for k, text in enumerate(texts):
@@ -30,7 +30,7 @@ def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch
 
 def _positioned(batches: Iterator[pa.RecordBatch], k: int, w: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in _chunks(batch, "seq"):
+        for part, texts in chunks_of(batch, "seq"):
             owner, position, key = minimizers_of_all(texts, k, w, seed)
             order = np.lexsort((position, owner))
             rows = pa.array(owner[order])
@@ -51,7 +51,7 @@ def _sketched(
     batches: Iterator[pa.RecordBatch], k: int, w: int, seed: int, length: int, stride: int, least: int, n_run: int
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in _chunks(batch, "seq"):
+        for part, texts in chunks_of(batch, "seq"):
             codes, offsets = joined_codes(texts)
             contig, segment, start, end = [], [], [], []
             for row, text in enumerate(texts):

@@ -25,7 +25,7 @@ from strandloom.operators.index import (
 )
 from strandloom.operators.reciprocal import query_best, reciprocal_best, reference_best, with_reciprocal_flag
 from strandloom.operators.regions import candidate_bands, candidate_regions, merge_bands, seed_hits
-from strandloom.operators.scoring import blocks_of, window_scores
+from strandloom.operators.scoring import index_of_blocks, reference_blocks, window_scores
 from strandloom.operators.segments import fragment_starts, mapped_length, minimizer_estimate, split_on_n, window_count
 from strandloom.operators.sketch import fragment_sketches, query_totals, reference_minimizers
 from strandloom.operators.summary import contig_summary, distribution, pair_summary, run_summary
@@ -120,6 +120,11 @@ def sequence_index(spark: SparkSession, data_dir: str) -> DataFrame:
     return reference_minimizers(keyed, ["file_id", "contig_id"], K, W, SEED).select(F.lit(1).alias("shard"), "*")
 
 
+def sequence_blocks(spark: SparkSession, data_dir: str) -> DataFrame:
+    keyed = diverged(contigs(spark, data_dir)).withColumn("contig_id", F.col("contig_id").cast("long"))
+    return reference_blocks(keyed, ["file_id", "contig_id"], K, W, SEED, LENGTH).select(F.lit(1).alias("shard"), "*")
+
+
 def sequence_fragments(spark: SparkSession, data_dir: str) -> DataFrame:
     return fragments_of_queries(contigs(spark, data_dir), SETTINGS)
 
@@ -473,10 +478,10 @@ scores AS (
 
 @query("window_scores", f"WITH {_SCORES} SELECT * FROM scores")
 def scores_of_windows(spark: SparkSession, data_dir: str) -> DataFrame:
-    index = materialize(sequence_index(spark, data_dir))
+    blocks = materialize(sequence_blocks(spark, data_dir))
     found = materialize(sequence_fragments(spark, data_dir)).withColumn("min_shared", F.lit(1))
-    regions = candidate_regions(seed_hits(found, index), found)
-    return window_scores(regions, found, blocks_of(index, LENGTH), K, W, LENGTH).drop("length")
+    regions = candidate_regions(seed_hits(found, index_of_blocks(blocks, LENGTH)), found)
+    return window_scores(regions, found, blocks, K, W, LENGTH).drop("length")
 
 
 # Mash ---------------------------------------------------------------------------------------------------------------
@@ -659,9 +664,9 @@ def mapping_stats(spark: SparkSession, data_dir: str) -> DataFrame:
 def compared(spark: SparkSession, data_dir: str):
     """Every query genome against every diverged one."""
     known = contigs(spark, data_dir)
-    index = materialize(sequence_index(spark, data_dir))
+    blocks = materialize(sequence_blocks(spark, data_dir))
     files = known.select("file_id").distinct().withColumn("shard", F.lit(1))
-    return compare(known, Reference(index, blocks_of(index, LENGTH), known, files), SETTINGS)
+    return compare(known, Reference(index_of_blocks(blocks, LENGTH), blocks, known, files), SETTINGS)
 
 
 _GENOME_ANI = f"""WITH {_SCORES},

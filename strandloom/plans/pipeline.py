@@ -15,9 +15,9 @@ from strandloom.functions.mash import minimum_shared_column
 from strandloom.operators.index import index_summary, plan_shards, shard_of, usable_index
 from strandloom.operators.reciprocal import reciprocal_best, with_reciprocal_flag
 from strandloom.operators.regions import candidate_regions, seed_hits
-from strandloom.operators.scoring import blocks_of, mappings_of, window_scores
+from strandloom.operators.scoring import index_of_blocks, mappings_of, reference_blocks, window_scores
 from strandloom.operators.segments import mapped_length, minimizer_estimate, split_on_n
-from strandloom.operators.sketch import query_fragments, query_totals, reference_minimizers
+from strandloom.operators.sketch import query_fragments, query_totals
 from strandloom.operators.summary import contig_summary, pair_summary
 from strandloom.params import ParameterError, Parameters, echo
 from strandloom.plans import report
@@ -57,8 +57,8 @@ def reference_segments(contigs: DataFrame, n_run: int) -> DataFrame:
 def build_reference(contigs: DataFrame, files: DataFrame, p: Parameters) -> tuple[Reference, list[tuple[int, int, int]]]:
     """The reference side: segments, their minimizers and the shards they go to.
 
-    `files` has file_id and label. A first pass finds the segments, a second one their minimizers; no sequence is
-    shuffled. One estimate per reference file reaches the driver for the shard plan.
+    `files` has file_id and label. A first pass finds the segments, a second one their minimizers, which are written once, in
+    blocks; no sequence is shuffled. One estimate per reference file reaches the driver for the shard plan.
     """
     segments = reference_segments(contigs, p.split_n_run)
     length = F.col("segment_end") - F.col("segment_start")
@@ -71,11 +71,12 @@ def build_reference(contigs: DataFrame, files: DataFrame, p: Parameters) -> tupl
     shards = plan_shards(estimates, p.max_shard_minimizers)
     shard = shard_of(F.col("file_id"), shards).alias("shard")
     split = split_on_n(contigs.withColumnRenamed("contig_id", "record_id"), ["file_id", "record_id"], p.split_n_run)
-    positioned = reference_minimizers(split, RECORD, p.kmer_size, p.window_size, p.hash_seed)
+    placed = reference_blocks(split, RECORD, p.kmer_size, p.window_size, p.hash_seed, p.fragment_length)
     numbers = broadcast_if_small(segments.select(*RECORD, "contig_id"))
-    index = positioned.join(numbers, RECORD).select(shard, "file_id", "contig_id", "key", "pos")
+    blocks = materialize(placed.join(numbers, RECORD).select(shard, "file_id", "contig_id", "block", "at", "keys"))
     dims = segments.select("contig_id", "file_id", shard, "name", "segment_start", "segment_end")
-    return Reference(index, blocks_of(index, p.fragment_length), dims, known.select("file_id", shard, "label", "mapped_length")), shards
+    index = index_of_blocks(blocks, p.fragment_length)
+    return Reference(index, blocks, dims, known.select("file_id", shard, "label", "mapped_length")), shards
 
 
 def load_reference(spark: SparkSession, p: Parameters, log: TextIO) -> Reference:
@@ -94,8 +95,7 @@ def load_reference(spark: SparkSession, p: Parameters, log: TextIO) -> Reference
     files = spark.createDataFrame([(i, g.label) for i, g in enumerate(p.references)], "file_id int, label string")
     built, planned = build_reference(contigs, files, p)
     if folder is None:
-        index = materialize(built.index)
-        return Reference(index, blocks_of(index, p.fragment_length), built.contigs, built.files)
+        return built
     summary = {r.shard: r for r in index_summary(built.index).collect()}
     segments = {r.shard: r.n for r in built.contigs.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     lengths = {r.shard: r.n for r in built.files.groupBy("shard").agg(F.sum("mapped_length").alias("n")).collect()}

@@ -2,7 +2,7 @@
 
     <folder>/manifest.json
     <folder>/index/shard=<n>/      key, file_id, contig_id, pos; bucketed and sorted by key
-    <folder>/blocks/shard=<n>/     contig_id, block, at, keys; bucketed by contig and block
+    <folder>/blocks/shard=<n>/     file_id, contig_id, block, at, keys; bucketed by contig and block
     <folder>/contigs/              one row per reference segment
     <folder>/files/                one row per reference file
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.params import ParameterError, Parameters
 
-FORMAT = 2
+FORMAT = 3
 #: Minimizers that a bucket of a shard aims at.
 BUCKET_MINIMIZERS = 4_000_000
 LARGE = {"index": ("key",), "blocks": ("contig_id", "block")}
