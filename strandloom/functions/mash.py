@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -165,8 +166,13 @@ def minimum_shared_column(sketch: Column, k: int, identity: float, confidence: f
 
 
 def upper_identity_column(sketch: Column, shared: Column, k: int, confidence: float) -> Column:
+    """`upper_identity` of two columns: each different pair of a batch is looked up once."""
+
     @F.pandas_udf("double")
     def upper(sizes: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([upper_identity(int(s), int(x), k, confidence) for s, x in zip(sizes, hits, strict=True)])
+        pairs = sizes.to_numpy(np.int64) << 32 | hits.to_numpy(np.int64)
+        known, at = np.unique(pairs, return_inverse=True)
+        values = np.array([upper_identity(int(p) >> 32, int(p) & 2**32 - 1, k, confidence) for p in known], float)
+        return pd.Series(values[at] if len(at) else values)
 
     return upper(sketch, shared)

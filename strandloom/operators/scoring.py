@@ -18,6 +18,8 @@ from strandloom.session import materialize
 #: Cells of the window-by-key table that is held at a time for a large region; windows that are scored side by side else.
 CELLS, SIDE_BY_SIDE = 1_000_000, 30_000
 HALF = 2**31
+#: Regions that are scored together; bounds what a worker holds.
+REGIONS_AT_A_TIME = 2000
 #: Regions with more minimizers than this are scored one by one, the others many at a time.
 LARGE = 4096
 
@@ -155,31 +157,36 @@ def _numbers(column: pa.Array) -> np.ndarray:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], k: int, w: int, bits: int, gathered: bool) -> Iterator[pa.RecordBatch]:
-    """`gathered` blocks count without the letters that they share with the next one."""
     for batch in batches:
-        start, end, length = (_numbers(batch.column(c)) for c in ("region_start", "region_end", "length"))
-        regions = np.arange(batch.num_rows)
-        sketches, blocks = batch.column("minimizers"), batch.column("blocks")
-        size = _numbers(sketches.value_lengths())
-        owner, query = np.repeat(regions, size), _numbers(sketches.flatten()) + HALF
-        parts = blocks.flatten()
-        of_part = np.repeat(regions, _numbers(blocks.value_lengths()))
-        places, keys = parts.field("at"), parts.field("keys")
-        lengths = _numbers(places.value_lengths())
-        member = np.repeat(of_part, lengths)
-        base = np.repeat(_numbers(parts.field("block")) << bits, lengths)
-        places = _numbers(places.flatten())
-        own = places < 2**bits if gathered else True
-        places += base
-        keys = _numbers(keys.flatten()) + HALF
-        reach = own & (places >= start[member]) & (places < end[member] + length[member])
-        member, places, keys = member[reach], places[reach], keys[reach]
-        order = np.lexsort((places, member))
-        width = np.maximum(0, length - (w - 1) - (k - 1))
-        found = best_windows(owner, query, member[order], places[order], keys[order], start, end, width)
-        kept = [batch.column(c).take(pa.array(found[:, 0])) for c in _KEPT]
-        own = [pa.array(size[found[:, 0]]), *[pa.array(found[:, c]) for c in range(1, 5)]]
-        yield pa.RecordBatch.from_arrays([*kept, *own], names=[*_KEPT, *_FOUND])
+        for at in range(0, batch.num_rows, REGIONS_AT_A_TIME):
+            yield _score_batch(batch.slice(at, REGIONS_AT_A_TIME), k, w, bits, gathered)
+
+
+def _score_batch(batch: pa.RecordBatch, k: int, w: int, bits: int, gathered: bool) -> pa.RecordBatch:
+    """`gathered` blocks count without the letters that they share with the next one."""
+    start, end, length = (_numbers(batch.column(c)) for c in ("region_start", "region_end", "length"))
+    regions = np.arange(batch.num_rows)
+    sketches, blocks = batch.column("minimizers"), batch.column("blocks")
+    size = _numbers(sketches.value_lengths())
+    owner, query = np.repeat(regions, size), _numbers(sketches.flatten()) + HALF
+    parts = blocks.flatten()
+    of_part = np.repeat(regions, _numbers(blocks.value_lengths()))
+    places, keys = parts.field("at"), parts.field("keys")
+    lengths = _numbers(places.value_lengths())
+    places = places.flatten().to_numpy(zero_copy_only=False)
+    # what is out of a region's reach is left before numbers are widened to 64 bits
+    low, high = (np.repeat(x[of_part] - (_numbers(parts.field("block")) << bits), lengths) for x in (start, end + length))
+    reach = np.flatnonzero((places >= low) & (places < high) & (places < (2**bits if gathered else HALF)))
+    member = np.repeat(np.arange(len(lengths)), lengths)[reach]
+    base = (_numbers(parts.field("block")) << bits)[member]
+    member, places = of_part[member], places[reach] + base
+    keys = keys.flatten().to_numpy(zero_copy_only=False)[reach].astype(np.int64) + HALF
+    order = np.lexsort((places, member))
+    width = np.maximum(0, length - (w - 1) - (k - 1))
+    found = best_windows(owner, query, member[order], places[order], keys[order], start, end, width)
+    kept = [batch.column(c).take(pa.array(found[:, 0])) for c in _KEPT]
+    own = [pa.array(size[found[:, 0]]), *[pa.array(found[:, c]) for c in range(1, 5)]]
+    return pa.RecordBatch.from_arrays([*kept, *own], names=[*_KEPT, *_FOUND])
 
 
 _KEPT = ["query_id", "fragment_id", "file_id", "contig_id", "region_start", "region_end", "length"]

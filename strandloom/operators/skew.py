@@ -22,7 +22,7 @@ CHUNK_ROWS = 65_536
 
 def _dealt(rows: DataFrame, key: str, order: list[str], slices: int) -> DataFrame:
     """Add `slice` and `_hash`, a hash of the key, and bring rows together by both: a hot key is in all slices."""
-    marked = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int")).withColumn("_hash", F.xxhash64(key))
+    marked = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int")).withColumn("_hash", F.hash(key))
     # neither is ever null; said here, the planner does not say it on one side of a later join only and shuffle twice
     return marked.filter("slice IS NOT NULL AND _hash IS NOT NULL").repartition(slices, "slice", "_hash")
 
