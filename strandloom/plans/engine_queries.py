@@ -107,9 +107,9 @@ def key_index(spark: SparkSession, data_dir: str) -> DataFrame:
     return keys.withColumn("key", F.pmod("key", F.lit(2**32))).filter("key IS NOT NULL")
 
 
-def diverged(contigs: DataFrame) -> DataFrame:
+def diverged(contigs: DataFrame, sites: tuple[tuple[str, str], ...] = MUTATIONS) -> DataFrame:
     seq = F.upper("seq")
-    for old, new in MUTATIONS:
+    for old, new in sites:
         seq = F.replace(seq, F.lit(old), F.lit(new))
     return contigs.withColumn("seq", seq)
 
@@ -132,7 +132,7 @@ def sequence_fragments(spark: SparkSession, data_dir: str) -> DataFrame:
 # Sequences ----------------------------------------------------------------------------------------------------------
 
 
-def minimizer_sql(name: str, source: str, keys: str) -> str:
+def minimizer_sql(name: str, source: str, keys: str, K: int = K) -> str:  # noqa: N803
     """CTEs that end in `name`(keys, pos, key): minimizers of source(keys, seq), in every window as chosen."""
     lead = lambda e, j: f"lead({e}, {j}) OVER o" if j else e
     forward = " + ".join(f"{lead('b', j)} * {4 ** (K - 1 - j)}" for j in range(K))
@@ -140,8 +140,8 @@ def minimizer_sql(name: str, source: str, keys: str) -> str:
     x1 = f"(xor(x0, x0 >> 16) * {0x2C1B3C6D}) % 4294967296"
     x2 = f"(xor(x1, x1 >> 15) * {0x297A2D39}) % 4294967296"
     return f"""
-{name}_l AS (SELECT {keys}, seq, unnest(range(len(seq))) AS pos FROM {source}),
-{name}_b AS (SELECT {keys}, pos, instr('ACGT', upper(seq[pos + 1])) - 1 AS b FROM {name}_l),
+{name}_l AS (SELECT {keys}, unnest(string_split(upper(seq), '')) AS letter, unnest(range(len(seq))) AS pos FROM {source}),
+{name}_b AS (SELECT {keys}, pos, instr('ACGT', letter) - 1 AS b FROM {name}_l),
 {name}_k AS (
   SELECT {keys}, pos, isbad, CASE WHEN b >= 2 THEN 1 ELSE 0 END AS heavy,
          CAST({forward} AS BIGINT) AS fw, CAST({backward} AS BIGINT) AS bw, {lead('b', K - 1)} IS NOT NULL AS whole
@@ -149,7 +149,7 @@ def minimizer_sql(name: str, source: str, keys: str) -> str:
 {name}_x0 AS (SELECT *, (least(fw, bw) + {SEED}) % 4294967296 AS x0 FROM {name}_k),
 {name}_x1 AS (SELECT *, {x1} AS x1 FROM {name}_x0),
 {name}_x2 AS (SELECT *, {x2} AS x2 FROM {name}_x1),
-{name}_h AS (SELECT {keys}, pos, isbad, heavy, fw, bw, CASE WHEN whole THEN xor(x2, x2 >> 16) END AS h FROM {name}_x2),
+{name}_h AS MATERIALIZED (SELECT {keys}, pos, isbad, heavy, fw, bw, CASE WHEN whole THEN xor(x2, x2 >> 16) END AS h FROM {name}_x2),
 {name}_w AS (
   SELECT {keys}, pos, sum(CASE WHEN isbad THEN 1 ELSE 0 END) OVER v AS n_bad, sum(heavy) OVER v AS n_heavy, count(*) OVER v AS n,
          min(CASE WHEN h IS NULL THEN NULL ELSE h * 1000000 + pos END) OVER u AS left_best,
@@ -162,15 +162,15 @@ def minimizer_sql(name: str, source: str, keys: str) -> str:
   FROM {name}_w WHERE n = {K + W - 1} AND n_bad = 0),
 {name}_d AS (
   SELECT *, lag(pos) OVER (PARTITION BY {keys} ORDER BY win) AS before FROM {name}_c),
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT {keys}, pos, least(hh.fw, hh.bw) AS key
   FROM {name}_d d JOIN {name}_h hh USING ({keys}, pos)
   WHERE d.before IS DISTINCT FROM d.pos AND hh.fw <> hh.bw)"""
 
 
 _SEGMENTS = f"""{CONTIGS},
-sl AS (SELECT file_id, contig_id, seq, unnest(range(len(seq))) AS i FROM c),
-sn AS (SELECT file_id, contig_id, i, upper(seq[i + 1]) = 'N' AS n FROM sl),
+sl AS (SELECT file_id, contig_id, unnest(string_split(upper(seq), '')) AS letter, unnest(range(len(seq))) AS i FROM c),
+sn AS (SELECT file_id, contig_id, i, letter = 'N' AS n FROM sl),
 sg AS (SELECT *, i - row_number() OVER (PARTITION BY file_id, contig_id, n ORDER BY i) AS g FROM sn),
 sr AS (SELECT file_id, contig_id, n, min(i) AS a, max(i) + 1 AS b FROM sg GROUP BY file_id, contig_id, n, g),
 sc AS (SELECT *, n AND b - a >= {N_RUN} AS cut FROM sr),
@@ -233,14 +233,18 @@ def minimizers_windowed(spark: SparkSession, data_dir: str) -> DataFrame:
     return reference_minimizers(contigs(spark, data_dir), ["file_id", "contig_id"], K, W, SEED)
 
 
-_FRAGMENTS = f"""{_SEGMENTS},
+def _fragments_sql(length: int, k: int) -> str:
+    return f"""{_SEGMENTS},
 fs AS (SELECT file_id, contig_id, segment_start, segment_end - segment_start AS n,
-              unnest(range(segment_start, segment_end, {LENGTH})) AS frag_start FROM segments),
-fr AS (SELECT file_id, contig_id, frag_start, substr(seq, frag_start + 1, {LENGTH}) AS seq FROM fs JOIN c USING (file_id, contig_id)
-       WHERE frag_start + {LENGTH} <= segment_start + n),
-{minimizer_sql('qm', 'fr', 'file_id, contig_id, frag_start')},
+              unnest(range(segment_start, segment_end, {length})) AS frag_start FROM segments),
+fr AS (SELECT file_id, contig_id, frag_start, substr(seq, frag_start + 1, {length}) AS seq FROM fs JOIN c USING (file_id, contig_id)
+       WHERE frag_start + {length} <= segment_start + n),
+{minimizer_sql('qm', 'fr', 'file_id, contig_id, frag_start', k)},
 sk AS (SELECT file_id AS query_id, contig_id, frag_start, list_sort(list(DISTINCT key)) AS minimizers FROM qm GROUP BY ALL),
-qf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contig_id, frag_start) - 1 AS fragment_id FROM sk)"""
+qf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contig_id, frag_start) - 1 AS fragment_id FROM sk)"""
+
+
+_FRAGMENTS = _fragments_sql(LENGTH, K)
 
 
 @query(
@@ -387,15 +391,22 @@ def shard_pruned_query(spark: SparkSession, data_dir: str) -> DataFrame:
 
 # Regions and scores -------------------------------------------------------------------------------------------------
 
-_HITS = f"""{_FRAGMENTS},
-rc AS (SELECT file_id, CAST(contig_id AS BIGINT) AS contig_id, replace(replace(upper(seq), 'GAT', 'GAC'), 'CCA', 'CTA') AS seq FROM c),
-{minimizer_sql('rm', 'rc', 'file_id, contig_id')},
+_DIVERGED = """
+rc AS (SELECT file_id, CAST(contig_id AS BIGINT) AS contig_id, replace(replace(upper(seq), 'GAT', 'GAC'), 'CCA', 'CTA') AS seq FROM c)"""
+
+
+def _hits_sql(length: int, k: int, references: str) -> str:
+    return f"""{_fragments_sql(length, k)},{references},
+{minimizer_sql('rm', 'rc', 'file_id, contig_id', k)},
 seeds AS (SELECT query_id, fragment_id, unnest(minimizers) AS key FROM qf),
 hits AS (SELECT query_id, fragment_id, file_id, rm.contig_id, pos FROM seeds JOIN rm USING (key))"""
+
+
+_HITS = _hits_sql(LENGTH, K, _DIVERGED)
 _BANDS = """{hits},
 nh AS (SELECT *, row_number() OVER (PARTITION BY query_id, fragment_id, file_id, contig_id ORDER BY pos) AS r FROM hits),
 bands AS (SELECT a.query_id, a.fragment_id, a.file_id, a.contig_id, greatest(0, b.pos - {length} + 1) AS band_start, a.pos AS band_end
-          FROM nh a JOIN nh b ON a.query_id = b.query_id AND a.fragment_id = b.fragment_id AND a.file_id = b.file_id
+          FROM {a} JOIN nh b ON a.query_id = b.query_id AND a.fragment_id = b.fragment_id AND a.file_id = b.file_id
                AND a.contig_id = b.contig_id AND b.r = a.r + {m} - 1
           WHERE b.pos - a.pos < {length}),
 bm AS (SELECT *, max(band_end) OVER (PARTITION BY query_id, fragment_id, file_id, contig_id ORDER BY band_start, band_end
@@ -404,7 +415,7 @@ bi AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < band_start THEN 1 ELSE 0
                  OVER (PARTITION BY query_id, fragment_id, file_id, contig_id ORDER BY band_start, band_end ROWS UNBOUNDED PRECEDING) AS island FROM bm),
 regions_ AS (SELECT query_id, fragment_id, file_id, contig_id, min(band_start) AS region_start, max(band_end) AS region_end
              FROM bi GROUP BY query_id, fragment_id, file_id, contig_id, island)"""
-_BANDS_3, _BANDS_1 = (_BANDS.format(hits=_HITS, length=LENGTH, m=m) for m in (3, 1))
+_BANDS_3, _BANDS_1 = (_BANDS.format(hits=_HITS, length=LENGTH, a="nh a", m=m) for m in (3, 1))
 
 
 @query("seed_hits", f"WITH {_HITS} SELECT * FROM hits")
@@ -451,29 +462,32 @@ def region_merge(spark: SparkSession, data_dir: str) -> DataFrame:
     return merge_bands(ordered, ["query_id", "fragment_id", "reference_contig_id"], "s", "e")
 
 
-_WIDTH = LENGTH - (W - 1) - (K - 1)
-_SCORES = f"""{_BANDS_1},
-wm AS (SELECT r.query_id, r.fragment_id, r.file_id, r.contig_id, region_start, region_end, m.pos, m.key
-       FROM regions_ r JOIN rm m ON m.file_id = r.file_id AND m.contig_id = r.contig_id
-            AND m.pos >= region_start AND m.pos < region_end + {LENGTH}),
-wi AS (SELECT DISTINCT a.query_id, a.fragment_id, a.file_id, a.contig_id, a.region_start, a.region_end, a.pos, b.key
-       FROM wm a JOIN wm b USING (query_id, fragment_id, file_id, contig_id, region_start)
-       WHERE a.pos <= a.region_end AND b.pos >= a.pos AND b.pos < a.pos + {_WIDTH}),
-wq AS (SELECT DISTINCT query_id, fragment_id, file_id, contig_id, region_start, region_end, pos FROM wi),
+def _scores_sql(bands: str, length: int, k: int) -> str:
+    return f"""{bands},
+rg AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM regions_),
+wm AS (SELECT rid, region_end, m.pos, m.key
+       FROM rg r JOIN rm m ON m.file_id = r.file_id AND m.contig_id = r.contig_id AND m.pos >= region_start AND m.pos < region_end + {length}),
+wi AS (SELECT DISTINCT a.rid, a.pos, b.key FROM wm a JOIN wm b ON a.rid = b.rid
+       WHERE a.pos <= a.region_end AND b.pos >= a.pos AND b.pos < a.pos + {length - (W - 1) - (k - 1)}),
+wq AS (SELECT DISTINCT rid, pos FROM wi),
 uu AS (SELECT wi.*, 1 AS r, 0 AS q FROM wi
-       UNION ALL SELECT wq.*, unnest(minimizers) AS key, 0, 1 FROM wq JOIN qf USING (query_id, fragment_id)),
-ud AS (SELECT query_id, fragment_id, file_id, contig_id, region_start, region_end, pos, key, max(r) AS r, max(q) AS q FROM uu GROUP BY ALL),
-ur AS (SELECT *, row_number() OVER (PARTITION BY query_id, fragment_id, file_id, contig_id, region_start, pos ORDER BY key) AS rank,
-              sum(q) OVER (PARTITION BY query_id, fragment_id, file_id, contig_id, region_start, pos) AS sketch FROM ud),
-us AS (SELECT query_id, fragment_id, file_id, contig_id, region_start, region_end, pos, any_value(sketch) AS sketch,
+       UNION ALL SELECT wq.*, unnest(minimizers) AS key, 0, 1 FROM wq JOIN rg USING (rid) JOIN qf USING (query_id, fragment_id)),
+ud AS (SELECT rid, pos, key, max(r) AS r, max(q) AS q FROM uu GROUP BY ALL),
+ur AS (SELECT *, row_number() OVER (PARTITION BY rid, pos ORDER BY key) AS rank, sum(q) OVER (PARTITION BY rid, pos) AS sketch FROM ud),
+us AS (SELECT rid, pos, any_value(sketch) AS sketch,
               sum(CASE WHEN r = 1 AND q = 1 AND rank <= sketch THEN 1 ELSE 0 END) AS shared, sum(r) AS reference_keys
        FROM ur GROUP BY ALL),
-ub AS (SELECT *, max(shared) OVER (PARTITION BY query_id, fragment_id, file_id, contig_id, region_start) AS top FROM us),
-scores AS (
-  SELECT query_id, fragment_id, file_id, contig_id, region_start, region_end, CAST(any_value(sketch) AS BIGINT) AS sketch,
-         CAST(any_value(shared) AS BIGINT) AS shared, min(pos) AS first_start, max(pos) AS last_start,
-         CAST(arg_max(reference_keys, pos) AS BIGINT) AS reference_keys
-  FROM ub WHERE shared = top AND shared > 0 GROUP BY query_id, fragment_id, file_id, contig_id, region_start, region_end)"""
+ub AS (SELECT *, max(shared) OVER (PARTITION BY rid) AS top FROM us),
+best_of AS (
+  SELECT rid, CAST(any_value(sketch) AS BIGINT) AS sketch, CAST(any_value(shared) AS BIGINT) AS shared, min(pos) AS first_start,
+         max(pos) AS last_start, CAST(arg_max(reference_keys, pos) AS BIGINT) AS reference_keys
+  FROM ub WHERE shared = top AND shared > 0 GROUP BY rid),
+scores AS MATERIALIZED (
+  SELECT query_id, fragment_id, file_id, contig_id, region_start, region_end, sketch, shared, first_start, last_start, reference_keys
+  FROM best_of JOIN rg USING (rid))"""
+
+
+_SCORES = _scores_sql(_BANDS_1, LENGTH, K)
 
 
 @query("window_scores", f"WITH {_SCORES} SELECT * FROM scores")
@@ -487,6 +501,30 @@ def scores_of_windows(spark: SparkSession, data_dir: str) -> DataFrame:
 # Mash ---------------------------------------------------------------------------------------------------------------
 
 
+def _upper_sql(name: str, pairs: str, k: int, confidence: float) -> str:
+    """CTEs that end in `name`(s, x, upper): percent identity at the upper end of the similarities that x shared of s keys
+    make likely, for the rows (s, x) of `pairs`: the most shared keys that are reached or passed with the tail's probability."""
+    return f"""
+{name}_i AS (SELECT s, x, unnest(range(x, s + 1)) AS i FROM {pairs} WHERE x > 0 AND x < s),
+{name}_p AS (SELECT *, exp(lgamma(s + 1) - lgamma(i + 1) - lgamma(s - i + 1) + i * ln(x / s) + (s - i) * ln(1 - x / s)) AS p FROM {name}_i),
+{name}_t AS (SELECT *, sum(p) OVER (PARTITION BY s, x ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS tail FROM {name}_p),
+{name}_m AS (SELECT s, x, greatest(x, max(CASE WHEN tail >= {(1 - confidence) / 2!r} THEN i END)) AS most FROM {name}_t GROUP BY s, x),
+{name} AS (SELECT s, x, CASE WHEN x <= 0 THEN 0 WHEN x >= s OR most >= s THEN 100
+                        ELSE 100 * (1 + ln(2 * (most / s) / (1 + most / s)) / {k}) END AS upper
+           FROM {pairs} LEFT JOIN {name}_m USING (s, x))"""
+
+
+def _minimum_sql(name: str, sizes: str, k: int, identity: float, confidence: float) -> str:
+    """CTEs that end in `name`(s, least): the fewest shared keys of the rows (s) of `sizes` that may belong to this identity. Going
+    down from what the identity itself makes of s keys, the last before one whose upper identity is too low."""
+    return f"""
+{name}_s AS (SELECT s, CAST(ceil(s * (1 / (2 * exp({k} * {1 - identity / 100!r}) - 1))) AS BIGINT) AS strict FROM {sizes}),
+{name}_c AS (SELECT s, strict, unnest(range(1, strict)) AS x FROM {name}_s),
+{_upper_sql(name + '_u', name + '_c', k, confidence)},
+{name}_f AS (SELECT s, max(x) AS x FROM {name}_u WHERE upper < {identity} GROUP BY s),
+{name} AS (SELECT s, CASE WHEN strict <= 1 THEN 1 ELSE coalesce(x + 1, 1) END AS least FROM {name}_s LEFT JOIN {name}_f USING (s))"""
+
+
 @query(
     "mash_identity",
     f"""WITH {MAPS}
@@ -498,17 +536,31 @@ def mash_identity(spark: SparkSession, data_dir: str) -> DataFrame:
     return known.select("mapping_id", F.round(mash_distance(F.col("shared") / F.col("union_size"), 16), 9).alias("distance"))
 
 
-@query("min_shared_lookup")
+@query(
+    "min_shared_lookup",
+    f"""WITH {FRAGS}, sz AS (SELECT DISTINCT len(minimizers) AS s FROM f WHERE len(minimizers) > 0),
+{_minimum_sql('ms', 'sz', 16, 80.0, 0.9)}
+SELECT CAST(s AS INTEGER) AS sketch, CAST(least AS INTEGER) AS min_shared FROM ms""",
+)
 def min_shared_lookup(spark: SparkSession, data_dir: str) -> DataFrame:
     sizes = fragments(spark, data_dir).select(F.size("minimizers").alias("sketch")).filter("sketch > 0").distinct()
     return sizes.select("sketch", minimum_shared_column(F.col("sketch"), 16, 80.0, 0.9).alias("min_shared"))
 
 
-@query("identity_filter")
+_SHARED = f"""{MAPS},
+mp AS (SELECT mapping_id, CAST(union_size AS BIGINT) AS s, CAST(shared AS BIGINT) AS x FROM m WHERE union_size > 0 AND shared BETWEEN 0 AND union_size),
+pr AS (SELECT DISTINCT s, x FROM mp)"""
+
+
+@query(
+    "identity_filter",
+    f"""WITH {_SHARED},{_upper_sql('up', 'pr', 16, 0.9)}
+SELECT mapping_id, round(upper, 6) AS upper_identity FROM mp JOIN up USING (s, x) WHERE upper >= 80""",
+)
 def identity_filter(spark: SparkSession, data_dir: str) -> DataFrame:
     known = mappings(spark, data_dir).filter("union_size > 0 AND shared BETWEEN 0 AND union_size")
     upper = upper_identity_column(F.col("union_size"), F.col("shared"), 16, 0.9)
-    return known.select("mapping_id", upper.alias("upper_identity")).filter("upper_identity >= 80")
+    return known.select("mapping_id", upper.alias("upper")).filter("upper >= 80").select("mapping_id", F.round("upper", 6).alias("upper_identity"))
 
 
 # Reciprocal best and summaries --------------------------------------------------------------------------------------
@@ -669,18 +721,22 @@ def compared(spark: SparkSession, data_dir: str):
     return compare(known, Reference(index_of_blocks(blocks, LENGTH), blocks, known, files), SETTINGS)
 
 
-_GENOME_ANI = f"""WITH {_SCORES},
-ms AS (SELECT query_id, file_id, contig_id, fragment_id, {LENGTH} AS fragment_length, (first_start + last_start) // 2 AS reference_start,
-              100 * (1 - CASE WHEN shared = sketch THEN 0 ELSE -ln(2 * (shared / sketch) / (1 + shared / sketch)) / {K} END) AS identity
-       FROM scores),
+def _ani_sql(scores: str, length: int, k: int, kept: str = "scores") -> str:
+    return f"""{scores},
+ms AS (SELECT query_id, file_id, contig_id, fragment_id, {length} AS fragment_length, (first_start + last_start) // 2 AS reference_start,
+              100 * (1 - CASE WHEN shared = sketch THEN 0 ELSE -ln(2 * (shared / sketch) / (1 + shared / sketch)) / {k} END) AS identity
+       FROM {kept}),
 qb AS (SELECT * FROM ms QUALIFY row_number() OVER (PARTITION BY query_id, file_id, fragment_id
          ORDER BY round(identity, 9) DESC, contig_id DESC, reference_start DESC) = 1),
-rb AS (SELECT * FROM qb QUALIFY row_number() OVER (PARTITION BY query_id, contig_id, reference_start // {LENGTH - 20}
+rb AS (SELECT * FROM qb QUALIFY row_number() OVER (PARTITION BY query_id, contig_id, reference_start // {length - 20}
          ORDER BY round(identity, 9) DESC, fragment_id DESC) = 1),
 {_distribution_sql('query_id, file_id')},
-ql AS (SELECT query_id, count(*) * {LENGTH} AS mapped_length FROM qf GROUP BY query_id)
+ql AS (SELECT query_id, count(*) * {length} AS mapped_length FROM qf GROUP BY query_id)
 SELECT query_id, file_id, round(weighted / bases, 6) AS ani, round(bases / mapped_length, 6) AS af,
-       round(mapped_length / {LENGTH}.0, 6) AS total_fragments, {_DI}, n AS shared_fragments FROM di JOIN ql USING (query_id)"""
+       round(mapped_length / {length}.0, 6) AS total_fragments, {_DI}, n AS shared_fragments FROM di JOIN ql USING (query_id)"""
+
+
+_GENOME_ANI = f"WITH {_ani_sql(_SCORES, LENGTH, K)}"
 
 
 @query("genome_ani", _GENOME_ANI)
@@ -689,3 +745,50 @@ def genome_ani(spark: SparkSession, data_dir: str) -> DataFrame:
     """Without a threshold every chance hit is a mapping, so that in the end all pairs of genomes have a row."""
     pairs = compared(spark, data_dir).pairs
     return pairs.select("query_id", "file_id", *_no_nan("ani", "af", "total_fragments", *_ROUNDED), "shared_fragments")
+
+
+# With the settings that a run has if nothing else is asked for, but for shorter fragments: k-mer size, threshold, confidence.
+USUAL = Parameters(window_size=W, hash_seed=SEED, fragment_length=800, split_n_run=N_RUN)
+# Every genome has a reference of its own, and one that it shares with the next genome and that is further away.
+FURTHER = (*MUTATIONS, ("TTG", "TAG"), ("ACG", "ATG"), ("GCC", "GTC"), ("AGT", "AAT"))
+
+
+def _replaced_sql(sites: tuple[tuple[str, str], ...]) -> str:
+    seq = "upper(seq)"
+    for old, new in sites:
+        seq = f"replace({seq}, '{old}', '{new}')"
+    return seq
+
+
+_TWO_REFERENCES = f"""
+rc AS (SELECT file_id, CAST(contig_id AS BIGINT) AS contig_id, {_replaced_sql(MUTATIONS)} AS seq FROM c
+       UNION ALL SELECT 1000000 + file_id // 2, 1000000000 + contig_id, {_replaced_sql(FURTHER)} FROM c)"""
+_USUAL_BANDS = _BANDS.format(
+    hits=f"""{_hits_sql(USUAL.fragment_length, USUAL.kmer_size, _TWO_REFERENCES)},
+sz AS (SELECT DISTINCT len(minimizers) AS s FROM qf),
+{_minimum_sql('least_of', 'sz', USUAL.kmer_size, USUAL.mash_threshold, USUAL.mash_confidence)},
+fl AS (SELECT query_id, fragment_id, least FROM qf JOIN least_of ON s = len(minimizers))""",
+    length=USUAL.fragment_length,
+    a="nh a JOIN fl ON fl.query_id = a.query_id AND fl.fragment_id = a.fragment_id",
+    m="fl.least",
+)
+_USUAL_SCORES = f"""{_scores_sql(_USUAL_BANDS, USUAL.fragment_length, USUAL.kmer_size)},
+sx AS (SELECT DISTINCT sketch AS s, shared AS x FROM scores),
+{_upper_sql('up', 'sx', USUAL.kmer_size, USUAL.mash_confidence)},
+kept AS (SELECT scores.* FROM scores JOIN up ON s = sketch AND x = shared WHERE upper >= {USUAL.mash_threshold})"""
+
+
+@query("genome_ani_default", f"WITH {_ani_sql(_USUAL_SCORES, USUAL.fragment_length, USUAL.kmer_size, 'kept')}")
+def genome_ani_default(spark: SparkSession, data_dir: str) -> DataFrame:
+    """With threshold and confidence as usual, every genome against all of two generations of references."""
+    known = contigs(spark, data_dir).withColumn("contig_id", F.col("contig_id").cast("long"))
+    shared = diverged(known, FURTHER).select(
+        (F.lit(1_000_000) + F.floor(F.col("file_id") / 2)).cast("int").alias("file_id"), (F.col("contig_id") + 1_000_000_000).alias("contig_id"), "seq"
+    )
+    references = diverged(known).select("file_id", "contig_id", "seq").unionByName(shared)
+    made = reference_blocks(references, ["file_id", "contig_id"], USUAL.kmer_size, W, SEED, USUAL.fragment_length)
+    blocks = materialize(made.select(F.lit(1).alias("shard"), "*"))
+    files = references.select("file_id").distinct().withColumn("shard", F.lit(1))
+    reference = Reference(index_of_blocks(blocks, USUAL.fragment_length), blocks, references, files)
+    pairs = compare(contigs(spark, data_dir), reference, USUAL).pairs
+    return pairs.select("query_id", "file_id", *_no_nan("ani", "af", "total_fragments", *_ROUNDED), "shared_fragments")
