@@ -87,3 +87,18 @@ def hit_histogram(counts: DataFrame) -> DataFrame:
     for edge in reversed(edges):
         upper = F.when(F.col("hits") <= edge, edge).otherwise(upper)
     return counts.groupBy(upper.alias("bin")).agg(F.count(F.lit(1)).alias("keys"), F.sum("hits").alias("hits"))
+
+
+def index_metrics(counts: DataFrame) -> DataFrame:
+    """(shard, keys, hits, longest): counters of every shard from its `key_counts`; longest is the longest hit list."""
+    return counts.groupBy("shard").agg(F.count(F.lit(1)).alias("keys"), F.sum("hits").alias("hits"), F.max("hits").alias("longest"))
+
+
+def merge_metrics(metrics: DataFrame) -> DataFrame:
+    """One row over all shards: sums, and the longest of the longest."""
+    return metrics.agg(
+        F.count(F.lit(1)).alias("shards"),
+        F.coalesce(F.sum("keys"), F.lit(0)).alias("keys"),
+        F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"),
+        F.coalesce(F.max("longest"), F.lit(0)).alias("longest"),
+    )

@@ -15,11 +15,19 @@ def or_nan(column: Column) -> Column:
     return F.coalesce(column.cast("double"), F.lit(NAN))
 
 
-def distribution(best: DataFrame, groups: list[str], scatter: bool = True) -> DataFrame:
+def _median_of(values: Column) -> Column:
+    """The median of a sorted array; its size is at least 1."""
+    size = F.size(values)
+    low, high = F.get(values, F.floor((size - 1) / 2).cast("int")), F.get(values, F.floor(size / 2).cast("int"))
+    return (low + high) / 2
+
+
+def distribution(best: DataFrame, groups: list[str]) -> DataFrame:
     """Per group of reciprocal-best mappings: shared_fragments, shared_bases, weighted_identity, median, stddev, mad,
     ci_95_upper, ci_95_lower, f99, f80 and the counts behind them; what one fragment cannot give is null.
 
-    The interval is that of the unweighted mean. Medians are exact; a group has at most one row per fragment.
+    The interval is that of the unweighted mean. Medians are exact; a group has at most one row per fragment, whose
+    identities are held for them, so that one pass is enough.
     """
     identity, length = F.col("identity"), F.col("fragment_length")
     first = best.groupBy(*groups).agg(
@@ -27,7 +35,7 @@ def distribution(best: DataFrame, groups: list[str], scatter: bool = True) -> Da
         F.sum(length).alias("shared_bases"),
         F.sum(identity * length).alias("weighted_identity"),
         F.avg(identity).alias("mean"),
-        F.median(identity).alias("median"),
+        F.sort_array(F.collect_list(identity)).alias("_identities"),
         F.stddev_samp(identity).alias("stddev"),
         F.avg((identity >= 99).cast("double")).alias("f99"),
         F.avg((identity <= 80).cast("double")).alias("f80"),
@@ -35,10 +43,9 @@ def distribution(best: DataFrame, groups: list[str], scatter: bool = True) -> Da
     n = F.col("shared_fragments")
     half = F.when(n > 1, t_critical_column(n - 1) * F.col("stddev") / F.sqrt(n.cast("double"))).otherwise(0.0)
     result = first.withColumn("ci_95_upper", F.col("mean") + half).withColumn("ci_95_lower", F.col("mean") - half)
-    if scatter:
-        away = best.join(first.select(*groups, "median"), groups).groupBy(*groups).agg(F.median(F.abs(identity - F.col("median"))).alias("mad"))
-        result = result.join(away, groups)
-    return result
+    result = result.withColumn("median", _median_of(F.col("_identities")))
+    away = F.array_sort(F.transform("_identities", lambda x: F.abs(x - F.col("median"))))
+    return result.withColumn("mad", _median_of(away)).drop("_identities")
 
 
 def pair_summary(best: DataFrame, queries: DataFrame, length: int) -> DataFrame:
@@ -58,14 +65,11 @@ def pair_summary(best: DataFrame, queries: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _every_file(files: DataFrame) -> Column:
-    """All file ids as an array; files that are numbered through, as those of a run are, need not be listed."""
-    known = files.agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"), F.countDistinct("file_id").alias("n")).first()
-    if not known.n:
-        return F.array().cast("array<int>")
-    if known.high - known.low + 1 == known.n:
-        return F.sequence(F.lit(known.low), F.lit(known.high))
-    return F.array(*[F.lit(r.file_id) for r in files.select("file_id").distinct().orderBy("file_id").collect()])
+def with_every_file(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Each row once for every file id, which is what a table with all pairs is made of. The ids are one value of the plan,
+    not literals in it."""
+    ids = files.agg(F.collect_set("file_id").alias("ids")).scalar()
+    return df.withColumn("_ids", ids).withColumn("file_id", F.explode("_ids")).drop("_ids")
 
 
 def contig_summary(best: DataFrame, fragments: DataFrame, files: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
@@ -80,7 +84,7 @@ def contig_summary(best: DataFrame, fragments: DataFrame, files: DataFrame, cont
     )
     if contigs is not None:
         eligible = contigs.join(eligible, ["query_id", "query_contig"], "left").fillna(0, ["eligible_fragments", "mapped_length"])
-    every = eligible.withColumn("file_id", F.explode(_every_file(files)))
+    every = with_every_file(eligible, files)
     groups = ["query_id", "file_id", "query_contig"]
     summed = every.join(distribution(best, groups), groups, "left")
     named = [] if contigs is None else [c for c in contigs.columns if c not in groups]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import TextIO
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.mash import minimum_shared_column
-from strandloom.operators.index import index_summary, plan_shards, shard_of, usable_index
+from strandloom.operators.index import hit_histogram, index_metrics, index_summary, key_counts, merge_metrics, plan_shards, shard_of, usable_index
 from strandloom.operators.reciprocal import reciprocal_best, with_reciprocal_flag
 from strandloom.operators.regions import candidate_regions, seed_hits
 from strandloom.operators.scoring import index_of_blocks, mappings_of, reference_blocks, window_scores
@@ -81,7 +82,7 @@ def build_reference(contigs: DataFrame, files: DataFrame, p: Parameters) -> tupl
 
 def load_reference(spark: SparkSession, p: Parameters, log: TextIO) -> Reference:
     """The reference side of a run: the database if there is one, else what is built, and stored if so asked."""
-    folder = p.reference_sketch
+    folder = p.reference_sketch if p.reference_sketch is None else database.found(p.reference_sketch)
     if folder is not None and database.exists(folder) and not (p.force and not p.queries):
         if not p.queries:
             raise ParameterError(f"the sketch {folder} exists; use --force to overwrite it")
@@ -152,13 +153,33 @@ class Comparison:
     best: DataFrame
     pairs: DataFrame
     regions: int  # candidate regions that were scored
+    seconds: dict[str, float]  # of the phases
 
 
-def compare(query_contigs: DataFrame, reference: Reference, p: Parameters) -> Comparison:
-    """Everything about all queries and references; sketches and mappings are written once, as several results use them."""
+def _nothing(stage: str, event: str) -> None:
+    pass
+
+
+def compare(query_contigs: DataFrame, reference: Reference, p: Parameters, progress: Callable[[str, str], None] = _nothing) -> Comparison:
+    """Everything about all queries and references; sketches, regions and mappings are written once, as several results use
+    them. `progress` hears of each phase."""
+    times = [time.time()]
+
+    def done(stage: str) -> float:
+        times.append(time.time())
+        progress(stage, "complete")
+        return times[-1] - times[-2]
+
+    progress("query_collect", "start")
     fragments = fragments_of_queries(query_contigs, p)
+    seconds = {"query_collect": done("query_collect")}
     watch = Observation("candidate regions")
-    mappings = materialize(map_fragments(fragments, reference, p, watch))
+    progress("candidate_discovery", "start")
+    found = map_fragments(fragments, reference, p, watch)
+    seconds["candidate_discovery"] = done("candidate_discovery")
+    progress("scoring", "start")
+    mappings = materialize(found)
+    seconds["mapping"] = seconds["candidate_discovery"] + done("scoring")
     best = reciprocal_best(mappings, p.fragment_length)
     queries = query_totals(fragments)
     pairs = pair_summary(best, queries, p.fragment_length)
@@ -166,7 +187,17 @@ def compare(query_contigs: DataFrame, reference: Reference, p: Parameters) -> Co
         regions = watch.get["regions"]
     except Py4JJavaError:  # the planner cut off a part of the plan that has no rows, and with it what watched them
         regions = 0
-    return Comparison(fragments, queries, mappings, best, pairs, regions)
+    return Comparison(fragments, queries, mappings, best, pairs, regions, seconds)
+
+
+def metrics(result: Comparison, reference: Reference) -> list[str]:
+    """The counters of a run over all shards."""
+    counts = materialize(key_counts(reference.index))
+    merged = merge_metrics(index_metrics(counts)).first()
+    totals = result.queries.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("fragments", "minimizers", "seeds")]).first()
+    counters = {f"query_{c}": totals[c] for c in ("fragments", "minimizers", "seeds")} | {f"index_{c}": merged[c] for c in ("shards", "keys", "hits", "longest")}
+    counters |= {"candidate_regions": result.regions, "mappings": result.mappings.count(), "reciprocal_best": result.best.count()}
+    return report.metrics_lines(counters, hit_histogram(counts).orderBy(F.col("bin").asc_nulls_last()).collect())  # one row a bin
 
 
 class _Progress:
@@ -192,20 +223,25 @@ def run(p: Parameters, spark: SparkSession | None = None, stdout: TextIO = sys.s
         if not p.is_standard:
             print("WARNING: fragments overlap or vary in length; results differ from those of whole adjacent ones", file=stderr)
         progress = _Progress(p.verbose, stderr, began)
+        progress("reference", "start")
         reference = load_reference(spark, p, stderr)
+        seconds = {"reference_build": time.time() - began}
         progress("reference", "ready")
         if not p.queries:
             return
         contigs = read_contigs(spark, p.queries, "query")
-        result = compare(contigs, reference, p)
-        progress("mapping", "complete")
+        result = compare(contigs, reference, p, progress)
+        seconds |= result.seconds
         usable = {r.query_id for r in result.queries.select("query_id").collect()}
         if not p.per_contig and len(p.queries) == 1 and not usable:
             raise ParameterError(f"no usable fragments in query {p.queries[0].label}")
-        written = report.write_all(p, result, reference, contigs, stdout)
+        progress("output", "start")
+        summed = report.write_all(p, result, reference, contigs, stdout)
         progress("output", "written")
+        if p.verbose:
+            print(*metrics(result, reference), sep="\n", file=stderr)
         if not p.quiet:
-            print(report.summary_line(p, written, result.regions, reference, time.time() - began), file=stderr)
+            print(report.summary_line(p, summed, result.regions, reference, seconds, time.time() - began), file=stderr)
     finally:
         if own:
             spark.stop()

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 import resource
-from collections.abc import Iterator
-from contextlib import contextmanager
+import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import TYPE_CHECKING, TextIO
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from strandloom.operators.summary import run_summary, with_every_file
+from strandloom.session import shared_folder
+
 if TYPE_CHECKING:
     from strandloom.params import Parameters
     from strandloom.plans.pipeline import Comparison, Reference
@@ -31,23 +36,87 @@ def number(value: float | None, digits: int) -> str:
     return "NaN" if value is None or math.isnan(value) else f"{value:.{digits}f}"
 
 
-def pair_line(query: str, reference: str, row) -> str:
-    stats = [number(row[f] if row else None, 3) for f in _STAT_FIELDS]
-    ani, af = (number(row[f] if row else None, 3) for f in ("ani", "af"))
-    return "\t".join([query, reference, ani, af, number(row["total_fragments"], 2), *stats])
+def _stats(row: dict) -> list[str]:
+    return [number(row[f], 3) for f in _STAT_FIELDS]
 
 
-@contextmanager
-def _target(path: str | None, otherwise: TextIO) -> Iterator[TextIO]:
-    if path is None:
-        yield otherwise
-    else:
-        with open(path, "w") as file:
-            yield file
+def pair_line(row: dict) -> str:
+    known = [number(row[f], 3) for f in ("ani", "af")]
+    return "\t".join([row["query"], row["reference"], *known, number(row["total_fragments"], 2), *_stats(row)])
+
+
+def contig_line(row: dict) -> str:
+    counts = [str(row[f]) for f in ("eligible_fragments", "shared_fragments", "shared_bases")]
+    return "\t".join([row["query"], row["reference"], row["name"] or "", *counts, number(row["ani"], 3), *_stats(row)])
+
+
+def mapping_line(row: dict) -> str:
+    start = (row["segment_start"] or 0) + row["reference_start"]
+    places = [row["fragment_id"], row["frag_start"], row["frag_end"], start, start + row["fragment_length"]]
+    counts = [row[f] for f in ("query_minimizers", "reference_minimizers", "shared", "union_size")]
+    return "\t".join(
+        [
+            row["query"],
+            row["reference"],
+            row["query_contig"] if row["query_contig"] is not None else "unknown",
+            row["reference_contig"] if row["reference_contig"] is not None else str(row["contig_id"]),
+            *map(str, places),
+            number(row["identity"], 6),
+            *map(str, counts),
+            number(row["jaccard"], 8),
+            str(row["fragment_length"]),
+            str(row["is_reciprocal_best"]).lower(),
+        ]
+    )
+
+
+def lines_of(rows: DataFrame, line: Callable[[dict], str], order: list[str]) -> DataFrame:
+    """(line) of rows in this order, formatted where they are."""
+
+    def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([line(row) for row in batch.to_pylist()], pa.string())], names=["line"])
 
+    return rows.orderBy(*order).mapInArrow(formatted, "line string")
 
-def write_mapping_stats(p: Parameters, flagged: DataFrame, result: Comparison, reference: Reference, contigs: DataFrame) -> None:
-    """One row for every mapping, streamed to the driver partition by partition in output order."""
+
+def write_lines(lines: DataFrame, path: str | None, stdout: TextIO, header: list[str] | None = None) -> None:
+    """Write ordered lines behind a header. To a file, tasks write parts into the shared folder and the driver only joins their
+    bytes; to standard output lines come through the driver, a partition at a time."""
+    above = "".join(f"{text}\n" for text in header or [])
+    if path is None:
+        stdout.write(above)
+        for row in lines.toLocalIterator():
+            print(row.line, file=stdout)
+        return
+    Path(path).write_text(above)
+    spark = lines.sparkSession
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(settings)
+    out = jvm.java.io.FileOutputStream(str(Path(path).absolute()), True)
+    try:
+        for name in sorted(status.getPath().getName() for status in files.listStatus(at)):
+            if name.startswith("part-"):
+                part = files.open(jvm.org.apache.hadoop.fs.Path(at, name))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, settings, False)
+                part.close()
+    finally:
+        out.close()
+        files.delete(at, True)
+
+
+def named(rows: DataFrame, p: Parameters, reference: Reference) -> DataFrame:
+    """Rows with the labels of their query and their reference file."""
+    spark = rows.sparkSession
+    queries = spark.createDataFrame([(i, g.label) for i, g in enumerate(p.queries)], "query_id int, query string")
+    return rows.join(queries, "query_id").join(reference.files.select("file_id", F.col("label").alias("reference")), "file_id")
+
+
+def mapping_lines(p: Parameters, flagged: DataFrame, result: Comparison, reference: Reference, contigs: DataFrame) -> DataFrame:
+    """One line for every mapping, in output order."""
     fragments = result.fragments.select("query_id", "fragment_id", F.col("contig_id").alias("query_contig_id"), "frag_start", "frag_end")
     query_names = contigs.select(F.col("file_id").alias("query_id"), F.col("contig_id").alias("query_contig_id"), F.col("name").alias("query_contig"))
     reference_names = reference.contigs.select("contig_id", "shard", F.col("name").alias("reference_contig"), "segment_start")
@@ -55,96 +124,80 @@ def write_mapping_stats(p: Parameters, flagged: DataFrame, result: Comparison, r
         flagged.join(fragments, ["query_id", "fragment_id"])
         .join(query_names, ["query_id", "query_contig_id"], "left")
         .join(reference_names, "contig_id", "left")
-        .orderBy("query_id", "shard", "fragment_id", "contig_id", "reference_start")
     )
-    labels = {r.file_id: r.label for r in reference.files.select("file_id", "label").collect()}
-    with open(p.mapping_stats, "w") as out:
-        print(*MAPPING_COLUMNS, sep="\t", file=out)
-        for r in rows.toLocalIterator():
-            start = (r.segment_start or 0) + r.reference_start
-            print(
-                p.queries[r.query_id].label,
-                labels[r.file_id],
-                r.query_contig if r.query_contig is not None else "unknown",
-                r.reference_contig if r.reference_contig is not None else r.contig_id,
-                r.fragment_id,
-                r.frag_start,
-                r.frag_end,
-                start,
-                start + r.fragment_length,
-                number(r.identity, 6),
-                r.query_minimizers,
-                r.reference_minimizers,
-                r.shared,
-                r.union_size,
-                number(r.jaccard, 8),
-                r.fragment_length,
-                str(r.is_reciprocal_best).lower(),
-                sep="\t",
-                file=out,
-            )
-
-
-def write_all(p: Parameters, result: Comparison, reference: Reference, contigs: DataFrame, stdout: TextIO) -> list:
-    """Write the results and, if asked for, the mapping stats; returns the pair rows that were emitted.
-
-    Rows come to the driver in output order, a partition at a time; what it keeps is one row per emitted pair.
-    """
-    from strandloom.plans.pipeline import contigs_of, mapping_flags
-
-    files = reference.files.select("file_id", "label").orderBy("file_id").collect()
-    labels = {r.file_id: r.label for r in files}
-    pairs = result.pairs.orderBy("query_id", "file_id").collect()
+    return lines_of(named(rows, p, reference), mapping_line, ["query_id", "shard", "fragment_id", "contig_id", "reference_start"])
+
+
+def pair_lines(p: Parameters, result: Comparison, reference: Reference) -> DataFrame:
+    return lines_of(named(result.pairs, p, reference), pair_line, ["query_id", "file_id"])
+
+
+# What a line of the per-contig table is, in the order of a query's lines.
+_SUMMARY_HEADER, _SUMMARY, _HEADER, _CONTIG = range(4)
+
+
+def _contig_table_line(row: dict) -> str:
+    if row["kind"] == _SUMMARY_HEADER:
+        return "\t".join(["# aggregate_summary_header", *PAIR_COLUMNS])
+    if row["kind"] == _HEADER:
+        return "\t".join(CONTIG_COLUMNS)
+    return f"# aggregate_summary\t{pair_line(row)}" if row["kind"] == _SUMMARY else contig_line(row)
+
+
+def contig_lines(p: Parameters, result: Comparison, reference: Reference, contigs: DataFrame) -> DataFrame:
+    """For each query a comment block with all references, then a line for every reference and contig; one header."""
+    from strandloom.plans.pipeline import contigs_of
+
+    spark = contigs.sparkSession
+    queries = spark.createDataFrame([(i,) for i in range(len(p.queries))], "query_id int")
+    total = F.coalesce("mapped_length", F.lit(0)) / F.lit(float(p.fragment_length))
+    sized = queries.join(result.queries.select("query_id", "mapped_length"), "query_id", "left").select("query_id", total.alias("total_fragments"))
+    every = with_every_file(sized, reference.files).join(result.pairs.drop("total_fragments"), ["query_id", "file_id"], "left")
+    nothing = F.when((F.col("total_fragments") > 0) & F.col("ani").isNull(), 0.0)
+    summaries = named(every.withColumn("af", F.coalesce("af", nothing)), p, reference).withColumn("kind", F.lit(_SUMMARY))
+    rows = named(contigs_of(result, reference, contigs), p, reference).withColumn("kind", F.lit(_CONTIG))
+    heads = queries.withColumn("kind", F.lit(_SUMMARY_HEADER))
+    if p.header:
+        heads = heads.union(spark.createDataFrame([(0, _HEADER)], "query_id int, kind int"))
+    table = summaries.unionByName(rows, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
+    return lines_of(table, _contig_table_line, ["query_id", "kind", "file_id", "query_contig"])
+
+
+def write_all(p: Parameters, result: Comparison, reference: Reference, contigs: DataFrame, stdout: TextIO) -> Row:
+    """Write the results and, if asked for, the mapping stats; returns the row that sums up the pairs."""
+    from strandloom.plans.pipeline import mapping_flags
+
     if p.mapping_stats is not None:
-        write_mapping_stats(p, mapping_flags(result, p), result, reference, contigs)
-    with _target(p.out, stdout) as out:
-        if p.per_contig:
-            lengths = {r.query_id: r.mapped_length for r in result.queries.collect()}
-            rows = contigs_of(result, reference, contigs).orderBy("query_id", "file_id", "query_contig").toLocalIterator()
-            _write_contigs(p, rows, {(r.query_id, r.file_id): r for r in pairs}, files, lengths, out)
-        else:
-            if p.header:
-                print(*PAIR_COLUMNS, sep="\t", file=out)
-            for row in pairs:
-                print(pair_line(p.queries[row.query_id].label, labels[row.file_id], row), file=out)
-    return pairs
-
-
-def _write_contigs(p: Parameters, rows: Iterator, pairs: dict, files: list, lengths: dict[int, int], out: TextIO) -> None:
-    """For each query a comment block with all references, then a row for every reference and contig; one header."""
-    labels, row = {r.file_id: r.label for r in files}, next(rows, None)
-    for number_, query in enumerate(p.queries):
-        print("# aggregate_summary_header", *PAIR_COLUMNS, sep="\t", file=out)
-        total = lengths.get(number_, 0) / p.fragment_length
-        for file in files:
-            known = pairs.get((number_, file.file_id))
-            nothing = ["NaN", number(0.0 if total else None, 3), number(total, 2), *["NaN"] * len(STATS)]
-            line = pair_line(query.label, file.label, known) if known else "\t".join([query.label, file.label, *nothing])
-            print("# aggregate_summary", line, sep="\t", file=out)
-        if p.header and number_ == 0:
-            print(*CONTIG_COLUMNS, sep="\t", file=out)
-        while row is not None and row.query_id == number_:
-            stats = [number(row[f], 3) for f in ("ani", *_STAT_FIELDS)]
-            print(query.label, labels[row.file_id], row.name, row.eligible_fragments, row.shared_fragments, row.shared_bases, *stats, sep="\t", file=out)
-            row = next(rows, None)
+        write_lines(mapping_lines(p, mapping_flags(result, p), result, reference, contigs), p.mapping_stats, stdout, ["\t".join(MAPPING_COLUMNS)])
+    if p.per_contig:
+        write_lines(contig_lines(p, result, reference, contigs), p.out, stdout)
+    else:
+        write_lines(pair_lines(p, result, reference), p.out, stdout, ["\t".join(PAIR_COLUMNS)] if p.header else None)
+    return run_summary(result.pairs).first()
 
 
 def memory_gib() -> float:
     return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 2**20
 
 
-def summary_line(p: Parameters, pairs: list, regions: int, reference: Reference, seconds: float) -> str:
-    """The closing line: counts, the range of identities and aligned fractions, time and the driver's memory."""
-    span = {f"{c}_{n}": number(f((r[c] for r in pairs), default=math.nan), 3) for c in ("ani", "af") for n, f in (("min", min), ("max", max))}
+def summary_line(p: Parameters, summed: Row, regions: int, reference: Reference, seconds: dict[str, float], total: float) -> str:
+    """The closing line: counts, the range of identities and aligned fractions, the driver's memory, and the time of the phases."""
     facts = {
         "stage": "execution",
         "event": "complete",
         "queries": len(p.queries),
         "references": reference.files.count(),
-        "total_runtime_s": number(seconds, 3),
+        "total_runtime_s": number(total, 3),
         "peak_rss_gib": number(memory_gib(), 3),
-        "emitted_pairs": len(pairs),
+        "emitted_pairs": summed.emitted_pairs,
         "candidate_regions": regions,
-        **span,
+        **{f: number(summed[f], 3) for f in ("ani_min", "ani_max", "af_min", "af_max")},
+        **{f"{phase}_s": number(seconds[phase], 3) for phase in ("reference_build", "mapping", "query_collect", "candidate_discovery")},
     }
     return "SUMMARY\t" + "\t".join(f"{k}={v}" for k, v in facts.items())
+
+
+def metrics_lines(merged: dict[str, int], bins: list[Row]) -> list[str]:
+    """The counters of a run, and how many keys of the index have how many hits."""
+    counted = "METRICS\t" + "\t".join(f"{k}={v}" for k, v in merged.items())
+    return [counted, *[f"SEED_HIT_BIN\tup_to={'inf' if r.bin is None else r.bin}\tkeys={r['keys']}\thits={r.hits}" for r in bins]]

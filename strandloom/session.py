@@ -42,21 +42,27 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to reliable storage and go on from there, so that passes over it do not repeat its plan.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that executors and driver share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session without that setting gets a folder of
-    its own; on a cluster a missing setting is an error, as a machine-local folder would not survive an executor.
+    Only a local session without that setting gets a folder of its own; on a cluster a missing setting is an error, as a
+    machine-local folder would not survive an executor.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local[") and context.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="strandloom-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` once to reliable storage and go on from there, so that passes over it do not repeat its plan."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

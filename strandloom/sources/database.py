@@ -19,10 +19,12 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandloom.params import ParameterError, Parameters
 
 FORMAT = 3
+SUFFIXES = (".sketch.zst", ".sketch")
 #: Minimizers that a bucket of a shard aims at.
 BUCKET_MINIMIZERS = 4_000_000
 LARGE = {"index": ("key",), "blocks": ("contig_id", "block")}
@@ -50,6 +52,23 @@ def exists(folder: str) -> bool:
     return manifest_path(folder).is_file()
 
 
+def found(folder: str) -> str:
+    """Where the database of this name is: there, or else, if the name has no ending, there with one of `SUFFIXES`."""
+    if not exists(folder) and not Path(folder).suffix:
+        for suffix in SUFFIXES:
+            if exists(folder + suffix):
+                return folder + suffix
+    return folder
+
+
+def check_contigs(contigs: DataFrame, shards: list[dict[str, Any]]) -> None:
+    """The contigs of all shards must be numbered through, each once, or names would go to wrong contigs."""
+    counted = contigs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("contig_id").alias("ids"), F.min("contig_id").alias("low"), F.max("contig_id").alias("high")).first()
+    wanted = sum(s["contigs"] for s in shards)
+    if counted.n != wanted or counted.ids != wanted or (wanted and (counted.low, counted.high) != (0, wanted - 1)):
+        raise ParameterError(f"the contigs of the sketch are not numbered from 0 to {wanted - 1}, each once")
+
+
 def _write_bucketed(df: DataFrame, path: str, keys: tuple[str, ...], buckets: int, codec: str) -> None:
     """Write a table by shard in buckets; its name in the session's catalog is given up again at once."""
     name = f"strandloom_{uuid.uuid4().hex}"
@@ -128,6 +147,7 @@ def chosen_shards(manifest: dict[str, Any], wanted: list[int] | None) -> list[in
 
 def read(spark: SparkSession, folder: str, manifest: dict[str, Any], shards: list[int]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Index, blocks, contigs and files of these shards; the others are not read."""
+    check_contigs(spark.read.parquet(f"{folder}/contigs"), manifest["shards"])
     chosen = f"shard IN ({','.join(map(str, shards))})"
     large = [_read_bucketed(spark, f"{folder}/{name}", keys, manifest["buckets"]).where(chosen) for name, keys in LARGE.items()]
     small = [spark.read.parquet(f"{folder}/{name}").where(chosen) for name in ("contigs", "files")]

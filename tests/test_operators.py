@@ -1,3 +1,4 @@
+import io
 import math
 import random
 from fractions import Fraction
@@ -168,10 +169,10 @@ def test_distribution(spark):
 
 
 def test_fasta_records():
-    assert list(parse_fasta(b">a first\r\nAC GT\r\n\r\nacgt\n>b\n>c\xff x\nNN")) == [("a", "ACGTacgt"), ("b", ""), ("c�", "NN")]
-    assert list(parse_fasta(b"")) == []
+    assert list(parse_fasta(io.BytesIO(b">a first\r\nAC GT\r\n\r\nacgt\n>b\n>c\xff x\nNN"))) == [("a", "ACGTacgt"), ("b", ""), ("c�", "NN")]
+    assert list(parse_fasta(io.BytesIO(b""))) == []
     with pytest.raises(ValueError):
-        list(parse_fasta(b"ACGT\n"))
+        list(parse_fasta(io.BytesIO(b"ACGT\n")))
 
 
 @pytest.mark.parametrize(

@@ -181,9 +181,15 @@ def test_log_lines(spark, folder):
     log = io.StringIO()
     pipeline.run(replace(settings(at, "a", "b"), quiet=False, verbose=True), spark, io.StringIO(), log)
     lines = log.getvalue().splitlines()
-    assert sum(line.startswith("PROGRESS") for line in lines) == 3
+    told = [tuple(x.split("=")[1] for x in line.split("\t")[1:3]) for line in lines if line.startswith("PROGRESS")]
+    assert told[:2] == [("reference", "start"), ("reference", "ready")] and told[-1] == ("output", "written") and len(told) == 10
+    counters = dict(x.split("=") for line in lines if line.startswith("METRICS") for x in line.split("\t")[1:])
+    assert counters["index_shards"] == "1" and int(counters["index_hits"]) >= int(counters["index_keys"]) > 0
+    binned = [dict(x.split("=") for x in line.split("\t")[1:]) for line in lines if line.startswith("SEED_HIT_BIN")]
+    assert sum(int(b["hits"]) for b in binned) == int(counters["index_hits"])
     facts = dict(x.split("=") for x in lines[-1].split("\t")[1:])
     assert int(facts["candidate_regions"]) > 0 and facts["emitted_pairs"] == "1"
+    assert all(float(facts[f"{f}_s"]) > 0 for f in ("reference_build", "mapping", "query_collect", "candidate_discovery"))
 
 
 def test_frequent_keys_are_ignored(spark, folder):
@@ -197,3 +203,25 @@ def test_no_usable_fragment(spark, folder):
     at, _ = folder
     with pytest.raises(ValueError, match="no usable"):
         outcome(spark, settings(at, "a", "b", fragment_length=5000, min_fragment_length=5000))
+
+
+def test_tables_in_files_are_those_of_standard_output(spark, folder, tmp_path):
+    at, _ = folder
+    for changes in ({"header": True}, {"per_contig": True, "header": True}):
+        p = settings(at, "ab", "abc", **changes)
+        assert outcome(spark, replace(p, out=str(tmp_path / "out.tsv"))) == []
+        assert [line.split("\t") for line in (tmp_path / "out.tsv").read_text().splitlines()] == outcome(spark, p)
+
+
+def test_database_names_and_contig_numbers(spark, folder, tmp_path):
+    at, _ = folder
+    built = replace(settings(at, "", "ab"), reference_sketch=str(tmp_path / "db.sketch"))
+    outcome(spark, built)
+    named = replace(settings(at, "a", ""), reference_sketch=str(tmp_path / "db"))
+    assert {r[1] for r in outcome(spark, named)} == {"a", "b"}
+    contigs = spark.read.parquet(str(tmp_path / "db.sketch" / "contigs"))
+    contigs.filter("contig_id <> 1").write.parquet(str(tmp_path / "fewer"))
+    (tmp_path / "db.sketch" / "contigs").rename(tmp_path / "before")
+    (tmp_path / "fewer").rename(tmp_path / "db.sketch" / "contigs")
+    with pytest.raises(ValueError, match="numbered"):
+        outcome(spark, named)
