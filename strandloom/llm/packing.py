@@ -312,3 +312,36 @@ def fill_of(packed: DataFrame, targets: DataFrame) -> DataFrame:
     return held.join(targets.select("target_id", "capacity_tokens").distinct(), "target_id").select(
         "target_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill")
     )
+
+
+def faults_of(packed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_id, containers_over, places_off, documents_off, needless_splits): how often the containers of
+    `pack_documents` break a rule. `sizes` has doc_id and n_tokens of every document, each once.
+
+    A container is over if it holds more than its capacity; a place is off if it does not begin where the one before it in the
+    container ends, a document if its parts do not follow each other from 0 to its size. A split is needless if the document fits.
+    """
+    capacities = targets.select("target_id", "capacity_tokens").dropna().distinct()
+    length = F.col("token_end") - F.col("token_start")
+    one = packed.withColumn("length", length).join(capacities, "target_id")
+    held = one.groupBy("target_id", "container_id").agg(
+        F.sum("length").alias("held"), F.max(F.col("container_start") + F.col("length")).alias("end"), F.min("container_start").alias("begin"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct("container_start").alias("places"), F.first("capacity_tokens").alias("capacity_tokens"),
+    )
+    # disjoint and without space between: from 0 to an end that is the sum, at different places
+    bad = held.groupBy("target_id").agg(
+        F.sum((F.col("held") > F.col("capacity_tokens")).cast("long")).alias("containers_over"),
+        F.sum(((F.col("begin") != 0) | (F.col("end") != F.col("held")) | (F.col("places") != F.col("n"))).cast("long")).alias("places_off"),
+    )
+    parts = one.groupBy("target_id", "doc_id").agg(
+        F.sum("length").alias("length"), F.min("token_start").alias("first"), F.max("token_end").alias("last"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct("token_start").alias("starts"), F.first("capacity_tokens").alias("capacity_tokens"),
+    )
+    wanted = sizes.filter("n_tokens > 0").withColumn("target_id", F.explode(capacities.agg(F.collect_set("target_id")).scalar()))
+    both = wanted.join(parts, ["target_id", "doc_id"], "full")
+    whole = (F.col("first") == 0) & (F.col("last") == F.col("n_tokens")) & (F.col("length") == F.col("n_tokens")) & (F.col("starts") == F.col("n"))
+    documents = both.groupBy("target_id").agg(
+        F.sum((~F.coalesce(whole, F.lit(False))).cast("long")).alias("documents_off"),
+        F.sum(F.coalesce(((F.col("n") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens"))).cast("long"), F.lit(0))).alias("needless_splits"),
+    )
+    return bad.join(documents, "target_id").select("target_id", "containers_over", "places_off", "documents_off", "needless_splits")

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.packing import fill_of, pack_documents
+from strandloom.llm.packing import faults_of, fill_of, pack_documents
 from strandloom.llm.repetition import repetition, repetitive
 from strandloom.llm.setjoin import similar_classes, similar_pairs
 from strandloom.llm.splitting import split_fragments, split_texts
-from strandloom.llm.tokenizer import encode_texts
+from strandloom.llm.tokenizer import count_tokens, encode_texts
 from strandloom.llm.topn import top_n
-from strandloom.session import table
+from strandloom.session import materialize, table
 
 SIMILAR = 0.6
 PIECE, PIECE_OVERLAP = 2000, 200
@@ -96,6 +96,12 @@ def p7_fill(spark: SparkSession, data_dir: str) -> DataFrame:
     return fill_of(p7_containers(spark, data_dir), table(spark, data_dir, "pack_targets"))
 
 
+def p7_faults(spark: SparkSession, data_dir: str) -> DataFrame:
+    documents, targets = (table(spark, data_dir, t) for t in ("documents", "pack_targets"))
+    sizes = count_tokens(documents.filter("doc_id IS NOT NULL"), "doc_id", "text", TOKENIZER).dropDuplicates(["doc_id"])
+    return faults_of(materialize(pack_documents(documents, targets)), sizes, targets)
+
+
 def p8_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return repetitive(table(spark, data_dir, "documents"), "doc_id", "text", REPETITIVE)
 
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_faults": p7_faults,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_posterior": p8_posterior,
@@ -215,6 +222,9 @@ WITH m AS (
 SELECT query_fragment_id, mapping_id FROM m
 QUALIFY row_number() OVER (PARTITION BY query_fragment_id
   ORDER BY identity DESC, reference_file_id, reference_start, mapping_id) <= 5""",
+    "p7_faults": """
+SELECT target_id, CAST(0 AS BIGINT) AS containers_over, CAST(0 AS BIGINT) AS places_off, CAST(0 AS BIGINT) AS documents_off,
+       CAST(0 AS BIGINT) AS needless_splits FROM pack_targets""",
     "p8_found": f"""
 WITH {_SHARES}
 SELECT doc_id FROM shares WHERE words > 0 AND repeated_words / words >= 0.3""",

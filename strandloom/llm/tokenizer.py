@@ -20,9 +20,11 @@ built so far.
 from __future__ import annotations
 
 import base64
+import os
 import threading
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 #: How a text is parted into words before merging; a fixed value that belongs to the vocabulary.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 START = -1
+#: States and arcs share a key of 20 bits each.
+MOST_TOKENS = 2**20
 #: Words whose encoding a worker remembers, and transitions; both are emptied when full.
 WORDS_KEPT = 300_000
 ARCS_KEPT = 2_000_000
@@ -59,6 +63,8 @@ class Automaton:
     """The tokenization automaton of ranked tokens; `compiled` restores one without compiling again."""
 
     def __init__(self, tokens: list[bytes], compiled: tuple[array, array] | None = None) -> None:
+        if len(tokens) > MOST_TOKENS:
+            raise ValueError(f"the automaton holds {MOST_TOKENS} tokens at most")
         self.tokens = tokens
         self.beside = array("i", [-1]) * len(tokens)  # u of the merge that made the token
         self.like = array("i", [-1]) * len(tokens)  # v of it
@@ -176,8 +182,9 @@ class Automaton:
         return sum(len(known.get(word) or encode_word(word)) for word in words_of(text))
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Follow the arcs from the start and emit their labels; a sequence that the automaton does not accept is
-        still spelled out, as any tokenizer does."""
+        """Emit the labels of the arcs that the ids name, one after the other. Whether an arc may follow the one before makes no
+        difference to its label, so a sequence that the automaton does not accept (see `accepts`) is spelled out as well,
+        as any tokenizer does."""
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", errors="replace")
 
     def accepts(self, ids: Iterable[int]) -> bool:
@@ -204,8 +211,14 @@ _lock = threading.Lock()
 def shared_automaton(spark: SparkSession, name: str, folder: str = TOKENIZER_DIR) -> Broadcast:
     """The compiled automaton of a vocabulary for all workers: the tokens and two integers for each, about 1.5 MB for
     50,000 tokens whatever the corpus is."""
+    return spark.sparkContext.broadcast(_compiled(name, folder, os.stat(f"{folder}/{name}.tiktoken").st_mtime_ns))
+
+
+@lru_cache(maxsize=8)
+def _compiled(name: str, folder: str, changed: int) -> tuple[list[bytes], tuple[array, array]]:
+    """Tokens and compiled automaton of a vocabulary file as of its last change; compiled once by a driver."""
     tokens = read_ranks(name, folder)
-    return spark.sparkContext.broadcast((tokens, Automaton(tokens).compiled()))
+    return tokens, Automaton(tokens).compiled()
 
 
 def worker_automaton(shared: Broadcast) -> Automaton:

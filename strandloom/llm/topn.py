@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 #: Items that a map task holds before it hands its heaps on and begins anew; bounds its memory.
 HELD_ITEMS = 200_000
-LAST = np.iinfo(np.int64).max
+#: What a null tie value stands for in a heap: less than the complement of any 64-bit integer.
+NULL = -(2**63) - 1
 
 
 class BoundedHeap:
@@ -43,13 +44,23 @@ class BoundedHeap:
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Group, score and tie columns; a null tie value sorts behind all others."""
+    """Group, score, and for each tie column whether it is null and its value."""
     group, score, *ties = batch.columns
-    return (
-        group.to_numpy(zero_copy_only=False),
-        score.to_numpy(zero_copy_only=False),
-        [t.fill_null(LAST).to_numpy(zero_copy_only=False) for t in ties],
-    )
+    keys = []
+    for tie in ties:
+        keys += [tie.is_null().to_numpy(zero_copy_only=False), tie.fill_null(0).to_numpy(zero_copy_only=False)]
+    return group.to_numpy(zero_copy_only=False), score.to_numpy(zero_copy_only=False), keys
+
+
+def _items(score: np.ndarray, keys: list[np.ndarray]) -> Iterator[tuple]:
+    """Rows as items for a heap. The complement turns the order of all 64-bit integers around without overflow."""
+    ties = []
+    for null, value in zip(keys[::2], keys[1::2]):
+        turned = (~value).tolist()
+        for at in np.flatnonzero(null):
+            turned[at] = NULL
+        ties.append(turned)
+    return zip(score.tolist(), *ties, strict=True)
 
 
 def _best_of_batch(group: np.ndarray, score: np.ndarray, ties: list[np.ndarray], n: int) -> np.ndarray:
@@ -66,12 +77,10 @@ def _best_of_batch(group: np.ndarray, score: np.ndarray, ties: list[np.ndarray],
 
 
 def _emit(heaps: list[tuple[int, BoundedHeap]], names: list[str], score_type: pa.DataType) -> pa.RecordBatch:
-    rows = [(g, i[0], *(-x for x in i[1:])) for g, h in heaps for i in sorted(h.items, reverse=True)]
-    table = np.array([r[:1] + r[2:] for r in rows], dtype=np.int64).reshape(len(rows), len(names) - 1)
-    scores = pa.array([r[1] for r in rows], type=score_type)
-    columns = [pa.array(table[:, 0]), scores]
-    for k in range(1, table.shape[1]):
-        columns.append(pa.array(table[:, k], mask=table[:, k] == LAST))
+    rows = [(g, i) for g, h in heaps for i in sorted(h.items, reverse=True)]
+    columns = [pa.array([g for g, _ in rows], pa.int64()), pa.array([i[0] for _, i in rows], score_type)]
+    for k in range(1, len(names) - 1):
+        columns.append(pa.array([None if i[k] == NULL else ~i[k] for _, i in rows], pa.int64()))
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -84,13 +93,12 @@ def _partial(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         names = batch.schema.names
         group, score, ties = _columns(batch)
         best = _best_of_batch(group, score, ties, n)
-        columns = [group[best].tolist(), score[best].tolist(), *[(-t[best]).tolist() for t in ties]]
-        for g, *item in zip(*columns, strict=True):
+        for g, item in zip(group[best].tolist(), _items(score[best], [t[best] for t in ties]), strict=True):
             heap = heaps.get(g)
             if heap is None:
                 heap = heaps[g] = BoundedHeap(n)
             held -= len(heap.items)
-            heap.push(tuple(item))
+            heap.push(item)
             held += len(heap.items)
         if held > HELD_ITEMS:
             yield _emit(list(heaps.items()), names, batch.schema.field(1).type)
@@ -107,12 +115,12 @@ def _merge(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
             continue
         names, done = batch.schema.names, []
         group, score, ties = _columns(batch)
-        for g, *item in zip(group.tolist(), score.tolist(), *[(-t).tolist() for t in ties], strict=True):
+        for g, item in zip(group.tolist(), _items(score, ties), strict=True):
             if g != current:
                 if heap.items:
                     done.append((current, heap))
                 current, heap = g, BoundedHeap(n)
-            heap.push(tuple(item))
+            heap.push(item)
         if done:
             yield _emit(done, names, pa.float64())
     if heap.items:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from strandloom.llm.packing import combinations, fill_greedily, fill_of, nonnegative_least_squares, pack, pack_documents, plan
+from strandloom.llm.packing import LARGEST_CAPACITY, faults_of, combinations, fill_greedily, fill_of, nonnegative_least_squares, pack, pack_documents, plan
 from strandloom.llm.tokenizer import count_tokens
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
@@ -54,7 +54,7 @@ def test_least_squares():
 
 
 def test_greedy_uses_open_space():
-    from strandloom.llm.packing import Pattern
+    from strandloom.llm.packing import LARGEST_CAPACITY, faults_of, Pattern
 
     patterns = fill_greedily({3: 2, 2: 1}, [Pattern([(7, 1)], 2)], 10)
     assert sorted((sorted(p.lengths), p.repeat) for p in patterns) == [([(2, 1)], 1), ([(3, 1), (7, 1)], 2)]
@@ -106,9 +106,22 @@ def test_documents(spark):
 
 
 def test_many_targets(spark):
-    sizes = spark.createDataFrame([(1, 5), (2, 7), (3, 12)], "item long, size long")
-    rows = pack(sizes, [(n, 10 + n) for n in range(11)]).collect()
+    sizes = spark.createDataFrame([(1, 5), (2, 7), (3, 12), (4, LARGEST_CAPACITY), (5, LARGEST_CAPACITY - 40)], "item long, size long")
+    capacities = [(n, 10 + n) if n % 3 == 0 else (n, LARGEST_CAPACITY - n) for n in range(30)]
+    large = pack(sizes, capacities[1::3] + capacities[2::3]).collect()
+    small = pack(sizes.filter("item < 4"), capacities[0::3]).collect()
     held = defaultdict(int)
-    for r in rows:
+    for r in large + small:
         held[r.target_id] += r.length
-    assert held == {n: 24 for n in range(11)}
+    assert held == {n: 24 if n % 3 == 0 else 24 + 2 * LARGEST_CAPACITY - 40 for n in range(30)}
+    assert max(r.length for r in large) == LARGEST_CAPACITY - 1
+
+
+def test_faults_are_found(spark):
+    targets = spark.createDataFrame([(1, 10), (2, 10)], "target_id int, capacity_tokens int")
+    sizes = spark.createDataFrame([(1, 6), (2, 4), (3, 14), (4, 0)], "doc_id long, n_tokens long")
+    good = [(0, 0, 1, 0, 6), (0, 6, 2, 0, 4), (1, 0, 3, 0, 10), (2, 0, 3, 10, 14)]
+    bad = [(0, 0, 1, 0, 6), (0, 5, 2, 0, 2), (1, 0, 2, 2, 4), (1, 2, 3, 0, 10)]
+    packed = spark.createDataFrame([(1, *r) for r in good] + [(2, *r) for r in bad], "target_id int, container_id long, container_start long, doc_id long, token_start long, token_end long")
+    found = {r.target_id: tuple(r)[1:] for r in faults_of(packed, sizes, targets).collect()}
+    assert found == {1: (0, 0, 0, 0), 2: (1, 1, 1, 1)}

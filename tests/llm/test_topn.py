@@ -55,3 +55,12 @@ def test_heap_is_bounded_and_distinct():
     for x in [5, 1, 5, 9, 9, 7, 2]:
         heap.push((x,))
     assert sorted(heap.items) == [(5,), (7,), (9,)]
+
+
+def test_ties_of_the_largest_and_the_smallest_integers(spark):
+    ends = [2**63 - 1, -(2**63), 0, None]
+    rows = [(1, 5.0, a, b) for a in ends for b in ends]
+    df = spark.createDataFrame(rows, "g long, s double, a long, b long").repartition(3)
+    got = [(r.a, r.b) for r in top_n(df, "g", "s", ["a", "b"], 7).collect()]
+    last = lambda x: (x is None, x or 0)
+    assert sorted(got, key=lambda t: tuple(map(last, t))) == sorted([r[2:] for r in rows], key=lambda t: tuple(map(last, t)))[:7]
