@@ -72,30 +72,42 @@ def with_every_file(df: DataFrame, files: DataFrame) -> DataFrame:
     return df.withColumn("_ids", ids).withColumn("file_id", F.explode("_ids")).drop("_ids")
 
 
-def contig_summary(best: DataFrame, fragments: DataFrame, files: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+_CONTIG_GROUPS = ["query_id", "file_id", "query_contig"]
+_STATISTICS = ("median", "stddev", "mad", "ci_95_upper", "ci_95_lower", "f99", "f80")
+
+
+def eligible_contigs(fragments: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+    """(query_id, query_contig, eligible_fragments) of `fragments` (query_id, contig_id). `contigs` (query_id, query_contig, ...)
+    adds those that have no fragment, and its other columns."""
+    eligible = fragments.groupBy("query_id", F.col("contig_id").alias("query_contig")).agg(F.count(F.lit(1)).alias("eligible_fragments"))
+    if contigs is None:
+        return eligible
+    return contigs.join(eligible, ["query_id", "query_contig"], "left").fillna(0, ["eligible_fragments"])
+
+
+def found_contigs(best: DataFrame) -> DataFrame:
+    """One row for every reference file and query contig with a mapping; NaN where there is no value."""
+    return distribution(best, _CONTIG_GROUPS).select(
+        *_CONTIG_GROUPS,
+        "shared_fragments",
+        "shared_bases",
+        or_nan(F.try_divide("weighted_identity", "shared_bases")).alias("ani"),
+        *[or_nan(F.col(c)).alias(c) for c in _STATISTICS],
+    )
+
+
+def contig_summary(best: DataFrame, fragments: DataFrame, files: DataFrame) -> DataFrame:
     """One row for every reference file and query contig, those without a mapping included (NaN).
 
-    `best` has query_contig; `fragments` query_id, contig_id, length; `files` is the list of reference file ids, the
-    one factor of the output besides the query's contigs. `contigs` (query_id, query_contig, ...) adds those that
-    have no fragment.
+    `best` has query_contig; `fragments` query_id, contig_id; `files` is the list of reference file ids, the one factor
+    of the output besides the query's contigs.
     """
-    eligible = fragments.groupBy("query_id", F.col("contig_id").alias("query_contig")).agg(
-        F.count(F.lit(1)).alias("eligible_fragments"), F.sum("length").alias("mapped_length")
-    )
-    if contigs is not None:
-        eligible = contigs.join(eligible, ["query_id", "query_contig"], "left").fillna(0, ["eligible_fragments", "mapped_length"])
-    every = with_every_file(eligible, files)
-    groups = ["query_id", "file_id", "query_contig"]
-    summed = every.join(distribution(best, groups), groups, "left")
-    named = [] if contigs is None else [c for c in contigs.columns if c not in groups]
-    return summed.select(
-        *groups,
-        *named,
+    every = with_every_file(eligible_contigs(fragments), files)
+    return every.join(found_contigs(best), _CONTIG_GROUPS, "left").select(
+        *_CONTIG_GROUPS,
         "eligible_fragments",
-        F.coalesce("shared_fragments", F.lit(0)).alias("shared_fragments"),
-        F.coalesce("shared_bases", F.lit(0)).alias("shared_bases"),
-        or_nan(F.try_divide("weighted_identity", "shared_bases")).alias("ani"),
-        *[or_nan(F.col(c)).alias(c) for c in ("median", "stddev", "mad", "ci_95_upper", "ci_95_lower", "f99", "f80")],
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shared_fragments", "shared_bases")],
+        *[or_nan(F.col(c)).alias(c) for c in ("ani", *_STATISTICS)],
     )
 
 

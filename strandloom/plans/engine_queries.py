@@ -676,17 +676,14 @@ SELECT query_id, file_id, query_contig, eligible_fragments, coalesce(n, 0) AS sh
 FROM el CROSS JOIN fl LEFT JOIN di USING (query_id, file_id, query_contig)""",
 )
 def per_contig_zero_fill(spark: SparkSession, data_dir: str) -> DataFrame:
-    found = _contig_rows(spark, data_dir)
+    found = contig_summary(*_best_of_contigs(spark, data_dir), table(spark, data_dir, "ref_contigs"))
     return found.select("query_id", "file_id", "query_contig", "eligible_fragments", "shared_fragments", *_no_nan("ani", *_ROUNDED))
 
 
-def _contig_rows(spark: SparkSession, data_dir: str) -> DataFrame:
-    known = fragments(spark, data_dir)
-    best = reciprocal_best(mappings(spark, data_dir), LENGTH).join(
-        known.select("query_id", "fragment_id", F.col("contig_id").alias("query_contig")), ["query_id", "fragment_id"]
-    )
-    sized = known.select("query_id", "contig_id", (F.col("frag_end") - F.col("frag_start")).alias("length"))
-    return contig_summary(best, sized, table(spark, data_dir, "ref_contigs"))
+def _best_of_contigs(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Reciprocal-best mappings with their query contig, and the fragments."""
+    known = fragments(spark, data_dir).select("query_id", "fragment_id", "contig_id")
+    return reciprocal_best(mappings(spark, data_dir), LENGTH).join(known.withColumnRenamed("contig_id", "query_contig"), ["query_id", "fragment_id"]), known
 
 
 @query(

@@ -19,7 +19,7 @@ from strandloom.operators.regions import candidate_regions, seed_hits
 from strandloom.operators.scoring import index_of_blocks, mappings_of, reference_blocks, window_scores
 from strandloom.operators.segments import mapped_length, minimizer_estimate, split_on_n
 from strandloom.operators.sketch import query_fragments, query_totals
-from strandloom.operators.summary import contig_summary, pair_summary
+from strandloom.operators.summary import eligible_contigs, found_contigs, pair_summary
 from strandloom.params import ParameterError, Parameters, echo
 from strandloom.plans import report
 from strandloom.session import broadcast_if_small, local_session, materialize
@@ -251,7 +251,8 @@ def mapping_flags(result: Comparison, p: Parameters) -> DataFrame:
     return with_reciprocal_flag(result.mappings, p.fragment_length)
 
 
-def contigs_of(result: Comparison, reference: Reference, contigs: DataFrame) -> DataFrame:
+def contigs_of(result: Comparison, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All query contigs, and what was found for those with a mapping."""
     placed = result.fragments.select("query_id", "fragment_id", F.col("contig_id").alias("query_contig"))
     every = contigs.select(F.col("file_id").alias("query_id"), F.col("contig_id").alias("query_contig"), "name")
-    return contig_summary(result.best.join(placed, ["query_id", "fragment_id"]), result.fragments, reference.files, every)
+    return eligible_contigs(result.fragments, every), found_contigs(result.best.join(placed, ["query_id", "fragment_id"]))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.mash import binomial_survival, distance_lower_bound, distance_to_jaccard, incomplete_beta, jaccard_to_distance, normal_cdf, t_cdf
 from strandloom.operators.index import index_metrics, key_counts, merge_metrics
 from strandloom.operators.reciprocal import with_reciprocal_flag
-from strandloom.operators.summary import hidden_support
+from strandloom.operators.summary import eligible_contigs, found_contigs, hidden_support
 from strandloom.params import Genome, Parameters
 from strandloom.plans import engine_queries as engine
 from strandloom.plans import report
@@ -162,8 +162,10 @@ def pair_lines(spark: SparkSession, data_dir: str) -> DataFrame:
 FROM el CROSS JOIN fl LEFT JOIN di USING (query_id, file_id, query_contig)""",
 )
 def contig_lines(spark: SparkSession, data_dir: str) -> DataFrame:
-    rows = _labelled(_rounded(engine._contig_rows(spark, data_dir))).withColumn("name", F.concat(F.lit("c"), F.col("query_contig").cast("string")))
-    return report.lines_of(rows, report.contig_line, ["query_id", "file_id", "query_contig"])
+    best, known = engine._best_of_contigs(spark, data_dir)
+    ids = [[r[0] for r in table(spark, data_dir, t).select(c).dropna().distinct().orderBy(c).collect()] for t, c in (("fragments", "query_id"), ("ref_contigs", "file_id"))]
+    contigs = eligible_contigs(known).withColumn("name", F.concat(F.lit("c"), F.col("query_contig").cast("string")))
+    return report.contig_table({i: f"q{i}" for i in ids[0]}, [(i, f"r{i}") for i in ids[1]], contigs, _rounded(found_contigs(best)))
 
 
 @query(
