@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.mash import minimum_shared_column
-from strandloom.operators.index import hit_histogram, index_metrics, index_summary, key_counts, merge_metrics, plan_shards, shard_of, usable_index
+from strandloom.operators.index import hit_histogram, index_metrics, index_summary, key_counts, merge_metrics, plan_shards, usable_index
 from strandloom.operators.reciprocal import reciprocal_best, with_reciprocal_flag
 from strandloom.operators.regions import candidate_regions, seed_hits
 from strandloom.operators.scoring import index_of_blocks, mappings_of, reference_blocks, window_scores
@@ -70,14 +70,15 @@ def build_reference(contigs: DataFrame, files: DataFrame, p: Parameters) -> tupl
     known = files.join(sized, "file_id", "left").fillna(0, ["estimate", "mapped_length"])
     estimates = [r.estimate for r in known.select("file_id", "estimate").orderBy("file_id").collect()]
     shards = plan_shards(estimates, p.max_shard_minimizers)
-    shard = shard_of(F.col("file_id"), shards).alias("shard")
+    of_file = [(file, number) for number, (first, count, _) in enumerate(shards, 1) for file in range(first, first + count)]
+    shard_of_file = F.broadcast(contigs.sparkSession.createDataFrame(of_file, "file_id int, shard int"))
     split = split_on_n(contigs.withColumnRenamed("contig_id", "record_id"), ["file_id", "record_id"], p.split_n_run)
     placed = reference_blocks(split, RECORD, p.kmer_size, p.window_size, p.hash_seed, p.fragment_length)
-    numbers = broadcast_if_small(segments.select(*RECORD, "contig_id"))
-    blocks = materialize(placed.join(numbers, RECORD).select(shard, "file_id", "contig_id", "block", "at", "keys"))
-    dims = segments.select("contig_id", "file_id", shard, "name", "segment_start", "segment_end")
+    numbers = broadcast_if_small(segments.join(shard_of_file, "file_id").select(*RECORD, "contig_id", "shard"))
+    blocks = materialize(placed.join(numbers, RECORD).select("shard", "file_id", "contig_id", "block", "at", "keys"))
+    dims = segments.join(shard_of_file, "file_id").select("contig_id", "file_id", "shard", "name", "segment_start", "segment_end")
     index = index_of_blocks(blocks, p.fragment_length)
-    return Reference(index, blocks, dims, known.select("file_id", shard, "label", "mapped_length")), shards
+    return Reference(index, blocks, dims, known.join(shard_of_file, "file_id").select("file_id", "shard", "label", "mapped_length")), shards
 
 
 def load_reference(spark: SparkSession, p: Parameters, log: TextIO) -> Reference:

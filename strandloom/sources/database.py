@@ -72,7 +72,8 @@ def check_contigs(contigs: DataFrame, shards: list[dict[str, Any]]) -> None:
 def _write_bucketed(df: DataFrame, path: str, keys: tuple[str, ...], buckets: int, codec: str) -> None:
     """Write a table by shard in buckets; its name in the session's catalog is given up again at once."""
     name = f"strandloom_{uuid.uuid4().hex}"
-    clustered = df.repartition(buckets, *keys)  # by the hash that buckets go by: a task writes one file for a shard
+    # A task writes all of a bucket of a shard, as one file; shards and buckets are spread over as many tasks as a shuffle has.
+    clustered = df.repartition("shard", F.pmod(F.hash(*keys), F.lit(buckets)))
     writer = clustered.write.mode("overwrite").partitionBy("shard").bucketBy(buckets, *keys).sortBy(*keys)
     writer.format("parquet").option("compression", codec).option("path", path).saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")
